@@ -114,7 +114,8 @@ def pivotal_counts(items: DataFrame, seed: int = 42) -> DataFrame:
     now, settled = now.drop("parts"), []
     while True:
         last = most == 1
-        dealt = now.repartition("grp", "part").sortWithinPartitions("grp", "part", F.xxhash64("key", F.lit(seed)), "key", "size")
+        # large documents first: small ones close the open one in the end, so a bucket leaves little open
+        dealt = now.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("size").desc(), F.xxhash64("key", F.lit(seed)), "key", "frac")
         done = materialize(dealt.mapInPandas(_round(seed, last), schema))
         settled.append(done.where("not open"))
         if last:
