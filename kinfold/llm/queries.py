@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.llm.htmltext import extract_pages
 from kinfold.llm.linefreq import quality_rules
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.piecebpe import token_digests
 from kinfold.llm.sharding import shard_documents
 from kinfold.llm.simhash import simhash_groups
+from kinfold.llm.toxicity import score_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +46,20 @@ def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), model_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_near_dedup, op2_quality_rules, op3_mix_sources, op5_minimax_sharding, op10_piece_encoding]
+    found = [op1_simhash_near_dedup, op2_quality_rules, op3_mix_sources, op5_minimax_sharding, op6_site_template_removal, op8_toxicity_neighbours, op10_piece_encoding]
     return {f.__name__: f for f in found}
 
 
