@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.htmltext import extract_pages
 from kinfold.llm.linefreq import quality_rules
 from kinfold.llm.mixing import mix_sources
+from kinfold.llm.multiindex import embedding_groups
 from kinfold.llm.piecebpe import token_digests
 from kinfold.llm.sharding import shard_documents
 from kinfold.llm.simhash import simhash_groups
@@ -42,6 +43,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -59,7 +64,7 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_near_dedup, op2_quality_rules, op3_mix_sources, op5_minimax_sharding, op6_site_template_removal, op8_toxicity_neighbours, op10_piece_encoding]
+    found = [op1_simhash_near_dedup, op2_quality_rules, op3_mix_sources, op4_inverted_multi_index, op5_minimax_sharding, op6_site_template_removal, op8_toxicity_neighbours, op10_piece_encoding]
     return {f.__name__: f for f in found}
 
 
