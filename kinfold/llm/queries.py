@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.llm.chunkdedup import chunk_dedup
 from kinfold.llm.htmltext import extract_pages
 from kinfold.llm.linefreq import quality_rules
 from kinfold.llm.mixing import mix_sources
@@ -59,12 +60,16 @@ def op8_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), model_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_near_dedup, op2_quality_rules, op3_mix_sources, op4_inverted_multi_index, op5_minimax_sharding, op6_site_template_removal, op8_toxicity_neighbours, op10_piece_encoding]
+    found = [op1_simhash_near_dedup, op2_quality_rules, op3_mix_sources, op4_inverted_multi_index, op5_minimax_sharding, op6_site_template_removal, op8_toxicity_neighbours, op9_chunk_dedup, op10_piece_encoding]
     return {f.__name__: f for f in found}
 
 
