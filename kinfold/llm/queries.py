@@ -16,6 +16,7 @@ from kinfold.llm.multiindex import embedding_groups
 from kinfold.llm.piecebpe import token_digests
 from kinfold.llm.sharding import shard_documents
 from kinfold.llm.simhash import simhash_groups
+from kinfold.llm.suffixdedup import suffix_dedup
 from kinfold.llm.toxicity import score_documents
 
 
@@ -56,6 +57,10 @@ def op6_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,7 +74,7 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash_near_dedup, op2_quality_rules, op3_mix_sources, op4_inverted_multi_index, op5_minimax_sharding, op6_site_template_removal, op8_toxicity_neighbours, op9_chunk_dedup, op10_piece_encoding]
+    found = [op1_simhash_near_dedup, op2_quality_rules, op3_mix_sources, op4_inverted_multi_index, op5_minimax_sharding, op6_site_template_removal, op7_suffix_dedup, op8_toxicity_neighbours, op9_chunk_dedup, op10_piece_encoding]
     return {f.__name__: f for f in found}
 
 
