@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"  # stands for a space in pieces
 #: Words kept with their ids in each Python worker; only speed depends on it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 
 class PieceBPE:
@@ -44,14 +44,21 @@ class PieceBPE:
             raise ValueError("pieces with a space after a letter aren't supported")
         stop = "" if "\n" in inside or "\n" in self.id_of else "\n"  # no piece holds it: text can be cut around it
         self.segment = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + f"|{stop}" * bool(stop))
-        self.lookup = lru_cache(maxsize=CACHE_WORDS)(self._encode_segment)
-        self.compatible = lru_cache(maxsize=CACHE_WORDS)(self._compatible)
+        self.listed: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
+        self.compatible = lru_cache(maxsize=300_000)(self._compatible)
         # Only pieces that their own text encodes to can be in a result; the automaton holds these.
         self.auto = ahocorasick.Automaton()
         for p in self.id_of:
             if len(p) == 1 or self.merge(p) == [p]:
                 self.auto.add_word(p, p)
         self.auto.make_automaton()
+        self.shorter = {}  # the longest piece that is a proper beginning of a piece
+        for p in self.auto.keys():
+            for k in range(len(p) - 1, 0, -1):
+                if p[:k] in self.auto:
+                    self.shorter[p] = p[:k]
+                    break
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: the best-scoring adjacent pair that forms a piece, the leftmost among equals, until none does."""
@@ -86,37 +93,37 @@ class PieceBPE:
 
     def _backtrack(self, text: str) -> list[str]:
         n = len(text)
-        ends: list[list[int]] = [[] for _ in range(n)]  # ends of the pieces that begin at a position, ascending
-        for last, piece in self.auto.iter(text):
-            ends[last + 1 - len(piece)].append(last + 1)
-        for i, c in enumerate(text):
-            if c not in self.id_of:  # stands alone, as bytes
-                ends[i] = [i + 1]
+        compatible, shorter, auto = self.compatible, self.shorter, self.auto
         failed = 0  # bit i: no way on from position i
-        path: list[tuple[int, int]] = []  # (start, index into ends[start])
-        at = 0
-        pick = len(ends[0]) - 1
+        path: list[str] = []
+        at, before = 0, None
+        matches = None  # longest matches from here on, as long as they are followed
         while at < n:
-            step = None
-            while pick >= 0:
-                to = ends[at][pick]
-                if not failed >> to & 1 and (not path or self.compatible(text[path[-1][0] : at], text[at:to])):
-                    step = to
+            matches = matches or auto.iter_long(text, at)
+            last, longest = next(matches, (-1, None))
+            if longest is None or last + 1 - len(longest) != at:
+                longest, matches = None, None
+            piece = longest or text[at]  # a character without a piece: alone, as bytes
+            while True:
+                while piece is not None and (failed >> at + len(piece) & 1 or not (before is None or compatible(before, piece))):
+                    piece = shorter.get(piece)
+                if piece is not None:
                     break
-                pick -= 1
-            if step is not None:
-                path.append((at, pick))
-                at = step
-                pick = len(ends[at]) - 1 if at < n else -1
-                continue
-            if not path:
-                return self.merge(text)
-            # The failure depends on the piece before; the position is closed for good only if it can't be
-            # entered otherwise, which holds as an encoding of a prefix is unique.
-            failed |= 1 << at
-            at, pick = path.pop()
-            pick -= 1
-        return [text[i : ends[i][k]] for i, k in path]
+                # The failure depends on the piece before; the position is closed for good as an encoding of a
+                # prefix is unique: no other path that can succeed leads here.
+                failed |= 1 << at
+                if not path:
+                    return self.merge(text)
+                piece = path.pop()
+                at -= len(piece)
+                before = path[-1] if path else None
+                piece = shorter.get(piece)
+            path.append(piece)
+            at += len(piece)
+            before = piece
+            if piece is not longest:
+                matches = None
+        return path
 
     def _encode_segment(self, segment: str) -> tuple[int, ...]:
         """Ids of a segment without a space inside. Pieces of spaces alone share one score, so that the order of their
@@ -128,13 +135,27 @@ class PieceBPE:
             out += [i] if i is not None else [self.byte_id[b] for b in p.encode("utf-8", "surrogatepass")]
         return tuple(out)
 
+    def list_ids(self, segment: str) -> str:
+        """Ids of a segment, joined by commas, kept for the next time; notes segments that decode to other text."""
+        if len(self.listed) >= CACHE_WORDS:
+            self.listed.clear()
+            self.odd.clear()
+        ids = self._encode_segment(segment)
+        text = self.decode((self.id_of[MARK], *ids))  # a mark ahead is what decoding drops
+        if text != segment.replace(MARK, " "):
+            self.odd[segment] = text
+        out = ",".join(map(str, ids))
+        if len(segment) <= 64:
+            self.listed[segment] = out
+        return out
+
     def segments(self, text: str) -> list[str]:
         return self.segment.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         for s in self.segments(text or ""):
-            out += self.lookup(s)
+            out += self._encode_segment(s)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -193,21 +214,18 @@ def token_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(model)
-
-        @lru_cache(maxsize=CACHE_WORDS)
-        def of(segment: str) -> tuple[str, int, str, tuple[int, ...]]:
-            ids = bpe._encode_segment(segment)
-            return ",".join(map(str, ids)), len(ids), bpe.decode((bpe.id_of[MARK], *ids)), ids  # a mark ahead is what decoding drops
-
+        known, add, odd = bpe.listed.get, bpe.list_ids, bpe.odd
         for part in parts:
             n, digests, texts, all_ids = [], [], [], []
             for x in part.column(part.num_columns - 1):
-                got = [of(s) for s in bpe.segments(x.as_py() or "")]
-                n.append(sum([g[1] for g in got]))
-                digests.append(hashlib.sha256(",".join([g[0] for g in got]).encode()).hexdigest())
-                text = "".join([g[2] for g in got])  # segments begin and end between characters, so they decode one by one
+                found = bpe.segments(x.as_py() or "")
+                csv = ",".join([known(s) or add(s) for s in found])
+                n.append(csv.count(",") + 1 if csv else 0)
+                digests.append(hashlib.sha256(csv.encode()).hexdigest())
+                # segments begin and end between characters, so they decode one by one
+                text = "".join([odd.get(s, s) for s in found] if odd else found).replace(MARK, " ")
                 texts.append(hashlib.sha256(text[text.startswith(" ") :].encode("utf-8", "surrogatepass")).hexdigest())
-                all_ids.append([i for g in got for i in g[3]] if with_ids else None)
+                all_ids.append(list(map(int, csv.split(","))) if with_ids and csv else [])
             columns = [part.column(k) for k in range(part.num_columns - 1)] + ([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])
             columns += [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
