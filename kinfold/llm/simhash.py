@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import materialize
@@ -28,18 +28,18 @@ from kinfold.llm.components import connected_components, forest
 FRONTIER = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     """64-bit SimHash of a text: lower-case A-Z, words split at ASCII white space, shingles joined by one space.
     Fewer words than a shingle give one shingle of all words; no words give zero."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return 0
     if len(found) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), 42)]
+        hashes = [xxhash.xxh64_intdigest(b" ".join(found), seed)]
     else:
         line, digest = b" ".join(found), xxhash.xxh64_intdigest
         at = list(accumulate(map(len, found), lambda x, n: x + n + 1, initial=0))
-        hashes = [digest(line[a : b - 1], 42) for a, b in zip(at, at[shingle:])]
+        hashes = [digest(line[a : b - 1], seed) for a, b in zip(at, at[shingle:])]
     bits = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 4096):
         part = np.array(hashes[k : k + 4096], np.uint64)
@@ -122,11 +122,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _links(radius: int, flush: int = 40_000):
-    """Tasks get rows (shard, side, fp) sorted by shard, equal shards together. side 0: in the tree and a query;
-    1: in the tree only; 2: a query only."""
+def _links(radius: int, both: int | None = None, flush: int = 40_000):
+    """Tasks get rows (shard, side, fp[, fp2, id]) sorted by shard, equal shards together. side 0: in the tree and a
+    query; 1: in the tree only; 2: a query only. Links need at most ``radius`` bits of fp to differ and, if ``both`` is
+    given, at most that many of fp and fp2 together; close pairs are linked first. Gives (a, b): fps, or ids."""
 
-    def solve(shard: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+    def solve(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, *more: np.ndarray) -> pa.RecordBatch | None:
         value = fp.view(np.uint64)
         inside = np.flatnonzero(side < 2)
         asking = np.flatnonzero(side != 1)
@@ -137,12 +138,18 @@ def _links(radius: int, flush: int = 40_000):
         tree = np.minimum(np.searchsorted(known, shard[asking]), len(known) - 1)
         asking, tree = asking[known[tree] == shard[asking]], tree[known[tree] == shard[asking]]
         root, out = np.arange(len(fp)), []
-        for q, item in trees.search(value[asking], tree, radius):
-            left, right = asking[q], inside[item]
-            root, used = forest(len(fp), left, right, root)
-            out.append((left[used], right[used]))
+        for most in (None,) if both is None else (both // 3, 2 * both // 3, both):
+            for q, item in trees.search(value[asking], tree, radius if most is None else min(radius, most)):
+                left, right = asking[q], inside[item]
+                if most is not None:
+                    second = more[0].view(np.uint64)
+                    near = np.bitwise_count(value[left] ^ value[right]).astype(np.int64) + np.bitwise_count(second[left] ^ second[right]) <= most
+                    left, right = left[near], right[near]
+                root, used = forest(len(fp), left, right, root)
+                out.append((left[used], right[used]))
         left, right = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), ())))
-        return pa.RecordBatch.from_arrays([pa.array(fp[left]), pa.array(fp[right])], ["a", "b"]) if len(left) else None
+        name = more[1] if both is not None else fp
+        return pa.RecordBatch.from_arrays([pa.array(name[left]), pa.array(name[right])], ["a", "b"]) if len(left) else None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -150,42 +157,46 @@ def _links(radius: int, flush: int = 40_000):
         for part in parts:
             if not part.num_rows:
                 continue
-            held.append(tuple(part.column(k).to_numpy() for k in range(3)))
+            held.append(tuple(part.column(k).to_numpy() for k in range(part.num_columns)))
             size += part.num_rows
             if size < flush:
                 continue
-            shard, side, fp = (np.concatenate(x) for x in zip(*held))
-            start = int(np.searchsorted(shard, shard[-1], "left"))  # the last shard may go on in the next batch
-            if start and (out := solve(shard[:start], side[:start], fp[:start])):
-                yield out
-            held, size = [(shard[start:], side[start:], fp[start:])], len(shard) - start
-        if held:
-            shard, side, fp = (np.concatenate(x) for x in zip(*held))
-            if out := solve(shard, side, fp):
+            columns = [np.concatenate(x) for x in zip(*held)]
+            start = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last shard may go on in the next batch
+            if start and (out := solve(*(c[:start] for c in columns))):
                 yield out
+            held, size = [tuple(c[start:] for c in columns)], len(columns[0]) - start
+        if held and (out := solve(*(np.concatenate(x) for x in zip(*held)))):
+            yield out
 
     return run
 
 
-def hamming_links(fps: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` at ``radius`` or fewer differing bits: a spanning forest of
-    every shard's links, so that connected components over them are those over all links."""
-    masks = [_signed(x) for x in block_masks(radius, fps.count())]
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("choice", "bits"))
-    keyed = keyed.select("fp", F.xxhash64("choice", "bits").alias("shard"))  # two keys in one shard cost time, not links
+def _deal(keyed: DataFrame, shard_rows: int) -> DataFrame:
+    """Rows (shard, fp, ...) with a side, equal shards together and sorted. A shard of more than ``shard_rows`` rows
+    is cut into chunks, and each pair of chunks is a shard of its own."""
+    rest = [c for c in keyed.columns if c not in ("shard", "fp")]
     large = materialize(keyed.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("chunks")))
     n_large = large.count()
-    small = keyed.select("shard", F.lit(0).alias("side"), "fp")
+    out = keyed.select("shard", F.lit(0).alias("side"), "fp", *rest)
     if n_large:
         listed = F.broadcast(large) if n_large <= 10_000 else large
-        small = keyed.join(listed, "shard", "left_anti").select("shard", F.lit(0).alias("side"), "fp")
+        out = out.join(listed, "shard", "left_anti")
         chunk = keyed.join(listed, "shard").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int"))
         other = chunk.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         side = F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2)
         cell = F.xxhash64("shard", F.least("chunk", "other"), F.greatest("chunk", "other"))
-        small = small.unionByName(other.select(cell.alias("shard"), side.alias("side"), "fp"))
-    dealt = small.repartition(F.col("shard")).sortWithinPartitions("shard")
-    return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
+        out = out.unionByName(other.select(cell.alias("shard"), side.alias("side"), "fp", *rest))
+    return out.repartition(F.col("shard")).sortWithinPartitions("shard")
+
+
+def hamming_links(fps: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` at ``radius`` or fewer differing bits: a spanning forest of
+    every shard's links, so that connected components over them are those over all links."""
+    masks = [_signed(x) for x in block_masks(radius, fps.count())]
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("choice", "bits"))
+    keyed = keyed.select("fp", F.xxhash64("choice", "bits").alias("shard"))  # two keys in one shard cost time, not links
+    return _deal(keyed, shard_rows).mapInArrow(_links(radius), "a long, b long").distinct()
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -203,3 +214,67 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFr
     linked = member.join(least, "label").select("fp", "component_id")
     group = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return found.join(group, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def sampled_masks(expected: int, bits_off: int = 11, recall: float = 0.97, seed: int = 42) -> list[int]:
+    """Masks of random bit subsets, large enough to leave some 64 of ``expected`` random fingerprints in a shard, and
+    so many that fingerprints ``bits_off`` bits apart share a shard with probability ``recall``."""
+    size = int(np.clip(np.ceil(np.log2(max(expected, 1) / 64)), 6, 24))
+    met = np.prod([(64 - bits_off - i) / (64 - i) for i in range(size)])
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in rng.permutation(64)[:size]) for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - met))))]
+
+
+def shingle_set(text: str | None, shingle: int) -> list[int]:
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    pieces = {b" ".join(found[i : i + shingle]) for i in range(max(1, len(found) - shingle + 1))}
+    return sorted({xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in pieces})
+
+
+def _hashed(shingle: int, what: str):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            text = [x.as_py() for x in part.column(1)]
+            if what == "set":
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, shingle) for x in text], pa.list_(pa.int64()))], ["text_key", "shingles"])
+            else:
+                two = [pa.array(np.fromiter((fingerprint(x, shingle, seed) for x in text), np.uint64, len(text)).view(np.int64)) for seed in (42, 43)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *two], ["text_key", "fp", "fp2"])
+
+    return run
+
+
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, both: int = 32, shard_rows: int = 4096) -> DataFrame:
+    """Groups of texts whose word-shingle sets have a Jaccard similarity of ``similarity`` or more. ``texts`` has
+    text_key (equal for equal texts) and text; returns (text_key, part) for texts in groups of more than one key.
+
+    Candidates are close SimHash pairs: within ``radius`` bits in BK-trees of shards by random bit subsets, and within
+    ``both`` bits of 128. Links that the exact similarity refutes are dropped before components are formed."""
+    found = materialize(texts.select("text_key", "text").mapInArrow(_hashed(shingle, "fingerprints"), "text_key long, fp long, fp2 long").distinct())
+    nodes = materialize(found.groupBy("fp", "fp2").agg(F.min("text_key").alias("id")))
+    masks = [_signed(x) for x in sampled_masks(nodes.count())]
+    keyed = nodes.select("fp", "fp2", "id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("choice", "bits"))
+    keyed = keyed.select(F.xxhash64("choice", "bits").alias("shard"), "fp", "fp2", "id")
+    links = materialize(_deal(keyed, shard_rows).mapInArrow(_links(radius, both), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = links.select(F.col("a").alias("text_key")).union(links.select("b")).distinct()
+    sets = texts.select("text_key", "text").join(ends, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    sets = materialize(sets.mapInArrow(_hashed(shingle, "set"), "text_key long, shingles array<long>"))
+    pairs = links.join(sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    true = pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    twins = found.join(nodes, ["fp", "fp2"]).where("text_key <> id").select(F.col("text_key").alias("a"), F.col("id").alias("b"))  # equal in all 128 bits
+    return connected_components(true.unionByName(twins)).select(F.col("node").alias("text_key"), F.col("label").alias("part"))
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with one document of each group of equal or similar texts: the
+    one of smallest doc_id, rows without an id last; of repeated rows one stays. Null texts equal empty ones."""
+    text_key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    row_key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    texts = docs.select(text_key.alias("text_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    parts = similar_texts(texts, shingle, similarity)
+    slim = docs.select(text_key.alias("text_key"), row_key.alias("kf_row"), F.col("doc_id").cast("long").alias("doc_id"))
+    grouped = slim.join(parts, "text_key", "left").select(F.coalesce("part", F.xxhash64(F.lit("one"), F.col("text_key"))).alias("part"), "kf_row", "doc_id")
+    stays = grouped.groupBy("part").agg(F.min_by("kf_row", F.struct(F.col("doc_id").isNull(), "doc_id", "kf_row")).alias("kf_row")).select("kf_row")
+    first = F.row_number().over(Window.partitionBy("kf_row").orderBy("kf_row"))
+    return docs.withColumn("kf_row", row_key).join(stays, "kf_row", "left_semi").withColumn("kf_first", first).where("kf_first = 1").select(*docs.columns)

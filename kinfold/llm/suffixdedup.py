@@ -317,3 +317,35 @@ def suffix_dedup(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     found = repeated_spans(base, bucket_rows)
     rows = base.join(found, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+
+
+def remove_repeats(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
+    """``docs`` with the repeated bytes cut from its texts, n_chars counted anew if there is such a column, and without
+    the documents that lose every word; all other rows and columns stay. Null texts stay null."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns({"kf_k1": F.xxhash64(text), "kf_k2": F.xxhash64(F.lit(1), text)})
+    found = repeated_spans(keyed.select(F.col("kf_k1").alias("k1"), F.col("kf_k2").alias("k2"), text.alias("text")), bucket_rows)
+    found = found.select(F.col("k1").alias("kf_k1"), F.col("k2").alias("kf_k2"), F.col("whole").alias("kf_whole"), F.col("spans").alias("kf_spans"))
+    rows = keyed.join(found, ["kf_k1", "kf_k2"], "left").select(*docs.columns, F.coalesce("kf_whole", F.lit(False)).alias("kf_whole"), "kf_spans")
+    names = docs.columns
+    at, n = names.index("text"), len(names)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts, stays = [], []
+            for text, whole, spans in zip(part.column(at), part.column(n), part.column(n + 1)):
+                kept = text.as_py()
+                if whole.as_py() or spans.as_py():
+                    data = kept.encode("utf-8", "surrogatepass")
+                    gone = [(0, len(data))] if whole.as_py() else merge_spans([(s["a"], s["b"]) for s in spans.as_py()])
+                    edges = [0, *(x for s in gone for x in s), len(data)]
+                    kept = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])]).decode("utf-8", "ignore")
+                stays.append(kept is None or kept == text.as_py() or bool(kept.strip()))
+                texts.append(kept)
+            columns = [part.column(k) for k in range(n)]
+            columns[at] = pa.array(texts, pa.string())
+            out = pa.RecordBatch.from_arrays(columns, names)
+            yield out.filter(pa.array(stays, pa.bool_()))
+
+    cut = rows.mapInArrow(run, docs.schema)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut

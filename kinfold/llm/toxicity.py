@@ -78,6 +78,27 @@ class Model:
             np.maximum.at(self.block_max[t], ids // BLOCK, w)
         self.cuts = [np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK) for ids in self.ids]
 
+        self.auto = ahocorasick.Automaton()
+        for i, t in enumerate(self.vocabulary):
+            self.auto.add_word(t, (i, len(t)))
+        self.auto.make_automaton()
+
+    def state(self) -> tuple:
+        """What a worker needs to build the model again."""
+        return self.vocabulary, self.idf, self.entries, self.votes, self.example, self.prior, self.k, self.steps
+
+    def vector(self, text: str | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Known terms of a whole text, as whole words of its lower case, and their counts."""
+        low, count = (text or "").lower(), Counter()
+        inner = lambda c: c.isalnum() or c == "_"
+        if self.vocabulary:
+            for last, (i, n) in self.auto.iter(low):
+                at = last + 1 - n
+                if not (at and inner(low[at - 1])) and not (last + 1 < len(low) and inner(low[last + 1])):
+                    count[i] += 1
+        pairs = sorted(count.items())
+        return tuple(i for i, _ in pairs), tuple(c for _, c in pairs)
+
     def weights(self, terms: tuple[int, ...], counts: tuple[int, ...]) -> np.ndarray:
         w = (1 + np.log(np.array(counts, float))) * self.idf[list(terms)]
         return w / sqrt(float(w @ w))
@@ -201,26 +222,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_examples: int = 20_0
 
 def score_with(docs: DataFrame, model: Model) -> DataFrame:
     """Scores of ``docs`` by a fitted model, as :func:`score_documents` returns them."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.idf, model.entries, model.votes, model.example, model.prior, model.k, model.steps))
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        auto = ahocorasick.Automaton()
-        for i, t in enumerate(m.vocabulary):
-            auto.add_word(t, (i, len(t)))
-        auto.make_automaton()
-        inner = lambda c: c.isalnum() or c == "_"
         for part in parts:
-            got = []
-            for x in part.column(2):
-                text, count = (x.as_py() or "").lower(), Counter()
-                if m.vocabulary:
-                    for last, (i, n) in auto.iter(text):
-                        at = last + 1 - n
-                        if not (at and inner(text[at - 1])) and not (last + 1 < len(text) and inner(text[last + 1])):
-                            count[i] += 1
-                pairs = sorted(count.items())
-                got.append(m.score(tuple(i for i, _ in pairs), tuple(c for _, c in pairs)))
+            got = [m.score(*m.vector(x.as_py())) for x in part.column(2)]
             score = [g[0] for g in got]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(score), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
@@ -230,9 +237,15 @@ def score_with(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the scores reject; all columns kept. Scores depend on the text alone, so they
-    are matched back by its digest: equal texts share their fate, whatever their ids."""
-    scored = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    bad = score_with(scored, fit(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("kf_text")).distinct()
-    return docs.join(bad, F.xxhash64(docs["text"]) == F.col("kf_text"), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000) -> DataFrame:
+    """``docs`` without the documents that the scores reject: rows and columns stay as they are, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples).state())
+    at = docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*shared.value)
+        for part in parts:
+            keep = [m.score(*m.vector(x.as_py()))[0] < 0.5 for x in part.column(at)]
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
