@@ -43,17 +43,16 @@ def minimax_cuts(atoms: DataFrame, shards: int) -> list[int]:
     """``atoms`` has int atom and long size, at most ``ATOMS`` rows: the atoms at which shard 1, 2, ... begin."""
     line = atoms.agg(F.array_sort(F.collect_list(F.struct("atom", "size"))).alias("line"))
     line = line.select(F.transform("line", lambda a: a["atom"]).alias("at"), F.transform("line", lambda a: a["size"]).alias("sizes"))
-    line = line.withColumn("capacity", F.when(F.size("sizes") > 0, let(F.col("sizes"), lambda s: _capacity(s, shards))))
     empty = F.array().cast("array<int>")
     begin = F.struct(F.lit(0).cast("long").alias("load"), empty.alias("cuts"))
-    pair = F.arrays_zip("at", "sizes")
-    cut = F.aggregate(
-        pair,
-        begin,
-        lambda s, a: F.when(s["load"] + a["sizes"] > F.col("capacity"), F.struct(a["sizes"].alias("load"), F.array_append(s["cuts"], a["at"]).alias("cuts"))).otherwise(
-            F.struct((s["load"] + a["sizes"]).alias("load"), s["cuts"].alias("cuts"))
-        ),
-    )["cuts"]
+
+    def cuts(capacity: Column) -> Column:
+        more = lambda s, a: F.struct((s["load"] + a["sizes"]).alias("load"), s["cuts"].alias("cuts"))
+        cut = lambda s, a: F.struct(a["sizes"].alias("load"), F.array_append(s["cuts"], a["at"]).alias("cuts"))
+        return F.aggregate(F.arrays_zip("at", "sizes"), begin, lambda s, a: F.when(s["load"] + a["sizes"] > capacity, cut(s, a)).otherwise(more(s, a)))["cuts"]
+
+    # bound by let(): inside a lambda, the search would else run again for every atom
+    cut = F.when(F.size("sizes") > 0, let(F.col("sizes"), lambda s: let(_capacity(s, shards), cuts)))
     row = line.select(cut.alias("cuts")).first()
     return list(row["cuts"] or []) if row else []
 
