@@ -198,5 +198,10 @@ def location_key(numbers: Column, city: Column) -> Column:
 def token_grams(text: Column, most: int = 3) -> Column:
     """All runs of 1 .. ``most`` tokens of a text, joined by spaces."""
     found = F.filter(F.split(text, " "), lambda t: t != "")
-    runs = [F.when(F.size(found) >= n, F.transform(F.sequence(F.lit(1), F.size(found) - n + 1), lambda i, n=n: F.array_join(F.slice(found, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1)]
-    return F.concat(*runs)
+    none = F.array().cast("array<string>")
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(found) - (n - 1))
+        return F.when(F.size(found) >= n, F.transform(starts, lambda i: F.array_join(F.slice(found, i, n), " "))).otherwise(none)
+
+    return F.concat(*[of(n) for n in range(1, most + 1)])
