@@ -1,35 +1,16 @@
-"""Shared helpers: tables written to the cluster's checkpoint folder, word rules, Arrow batches."""
+"""Shared helpers: intermediate tables, word rules, bindings inside expressions."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII white space that separates words, as a regular-expression class body.
-SPACE = r"\x20\x09-\x0D"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session without the setting gets one of its own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/checkpoints"
+from kinfold.sources.storage import materialize, shared_dir
 
+__all__ = ["SPACE", "let", "materialize", "shared_dir", "words"]
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinfold-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII white space that separates words, as a regular-expression class body.
+SPACE = r"\x20\x09-\x0D"
 
 
 def words(text: Column) -> Column:
@@ -40,9 +21,3 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for ``body``: lambdas inside would else evaluate an inlined expression for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def batches_of(table: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows of an Arrow batch."""
-    for at in range(0, table.num_rows, rows):
-        yield table.slice(at, rows)
