@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize
+from kinfold.llm.common import materialize, sliced
 
 #: One random word for each byte value, from a rule.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 2024) for b in range(256)], np.uint64)
@@ -63,7 +63,7 @@ def _chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, x in enumerate(part.column(2)):
                 data = (x.as_py() or "").encode("utf-8", "surrogatepass")
                 ends = chunk_ends(data)
-                begins = [0, *ends[:-1]]
+                begins = [0, *ends[:-1]][: len(ends)]
                 own = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(begins, ends)]
                 seen: set[bytes] = set()
                 for d in own:
@@ -74,7 +74,7 @@ def _chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += [b - a for a, b in zip(begins, ends)]
                 digests += own
             at = pa.array(row, pa.int64())
-            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2) if digests else np.zeros((0, 2), np.int64)
             columns = [part.column(0).take(at), part.column(1).take(at), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(again, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "size", "h1", "h2", "again"])
 
@@ -83,7 +83,7 @@ def _cut(min_run: int):
     """Rows (doc_id, text, found: repeated chunks) to results."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             out: list[tuple] = []
             for doc_id, text, found in zip(part.column(0), part.column(1), part.column(2)):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")

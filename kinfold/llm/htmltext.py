@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize
+from kinfold.llm.common import materialize, sliced
 
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
@@ -25,6 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rb rt rp".split())
 DROPPED = frozenset("nav header footer aside form script style noscript template head title button select option textarea input iframe object embed canvas svg math menu dialog audio video map".split())
+UNSEEN = frozenset("script style template noscript".split())  # where they stand no word ends
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words in class or id that mark what isn't article text.
 DROPPED_WORDS = frozenset(
@@ -178,7 +179,7 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
             out.append(node)
             continue
         if node.dropped or hashes.get(id(node)) in template:
-            out.append(" ")
+            out.append("" if node.tag in UNSEEN else " ")
             continue
         if node.tag in INLINE:
             stack += reversed(node.kids)
@@ -202,7 +203,7 @@ def extract_pages(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2)
     an empty table gives no rows; extra columns are ignored."""
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             found = [sorted(candidates(parse(x.as_py() or ""))) for x in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["host", "found"])
 
@@ -218,7 +219,7 @@ def extract_pages(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2)
     rows = source.join(listed, "host", "left").select("page_id", "url", "html", "template")
 
     def texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             got = [main_text(x.as_py(), frozenset(t.as_py() or ())) for x, t in zip(part.column(2), part.column(3))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.string()), pa.array(list(map(len, got)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
