@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.llm import oracles
 from kinfold.llm.chunkdedup import chunk_dedup
 from kinfold.llm.htmltext import extract_pages
 from kinfold.llm.linefreq import quality_rules
@@ -79,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": oracles.QUALITY, "op4_inverted_multi_index": oracles.EMBEDDINGS}
