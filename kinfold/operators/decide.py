@@ -65,16 +65,15 @@ def sweep(scored: DataFrame, methods: dict[str, str], thresholds: Sequence[float
     owned = long.withColumn("top", top).where("s >= top")
     levels = F.array(*[F.lit(float(t)) for t in thresholds])
     kept = owned.select("s1_id", "cand_id", "method", F.explode(F.filter(levels, lambda t: t <= F.col("s"))).alias("threshold"))
-    grid = scored.sparkSession.createDataFrame([(n, float(t)) for n in methods for t in thresholds], "method string, threshold double")
-    return macro_f05_by(kept, ["method", "threshold"], F.broadcast(grid), ids, truth)
+    return macro_f05_by(kept, ["method", "threshold"], [(n, float(t)) for n in methods for t in thresholds], ids, truth)
 
 
 def tune(scored: DataFrame, score: str, ids: DataFrame, truth: DataFrame, thresholds: Sequence[float] = THRESHOLDS, slack: float = 0.0005) -> DataFrame:
     """One row: the threshold of best stress score among those within ``slack`` of the best normal score, lowest first."""
     normal = sweep(scored, {score: score}, thresholds, ids, truth).select("threshold", F.col("f05").alias("normal"))
     stress = sweep(stress_copy(scored, [score]), {score: score}, thresholds, ids, truth).select("threshold", F.col("f05").alias("stress"))
-    both = normal.join(stress, "threshold")
-    best = both.crossJoin(F.broadcast(both.agg(F.max("normal").alias("best_normal"))))
+    few = Window.partitionBy(F.lit(0))  # one row per threshold
+    best = normal.join(stress, "threshold").withColumn("best_normal", F.max("normal").over(few))
     return best.where(F.col("normal") >= F.col("best_normal") - slack).orderBy(F.desc("stress"), "threshold").limit(1)
 
 
@@ -83,8 +82,9 @@ def choose_rule(results: DataFrame, base: str = "lgbm", slack: float = 0.0005, f
     the base method's best normal score; or the forced one."""
     if force:
         return results.where((F.col("method") == force[0]) & (F.abs(F.col("threshold") - force[1]) < 1e-8)).orderBy("method").limit(1)
-    limit = results.where(F.col("method") == base).agg(F.max("normal").alias("base_normal"))
-    return results.crossJoin(F.broadcast(limit)).where(F.col("normal") >= F.col("base_normal") - slack).orderBy(F.desc("stress"), "method", "threshold").limit(1).drop("base_normal")
+    few = Window.partitionBy(F.lit(0))  # one row per method and threshold
+    limit = F.max(F.when(F.col("method") == base, F.col("normal"))).over(few)
+    return results.withColumn("base_normal", limit).where(F.col("normal") >= F.col("base_normal") - slack).orderBy(F.desc("stress"), "method", "threshold").limit(1).drop("base_normal")
 
 
 def expected_f05_select(scored: DataFrame, score: str = "p", miss_rate: float = 0.02, min_p: float = 0.05) -> DataFrame:

@@ -58,4 +58,4 @@ def token_idf(pool: DataFrame, column: str = "name_core") -> DataFrame:
     n = pool.groupBy("country_norm").agg(F.count("*").alias("n"))
     seen = pool.select("country_norm", F.explode(F.array_distinct(F.filter(F.split(column, " "), lambda t: t != ""))).alias("token"))
     df = seen.groupBy("country_norm", "token").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n), "country_norm").select("country_norm", "token", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)).alias("idf"))
+    return df.join(n, "country_norm").select("country_norm", "token", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)).alias("idf"))

@@ -15,22 +15,23 @@ def f05(tp: Column, n_pred: Column, n_true: Column) -> Column:
     return F.when((n_pred == 0) & (n_true == 0), 1.0).when((n_pred == 0) | (n_true == 0), 0.0).otherwise(1.25 * tp / (n_pred + 0.25 * n_true))
 
 
-def macro_f05_by(pred: DataFrame, keys: Sequence[str], grid: DataFrame, ids: DataFrame, truth: DataFrame) -> DataFrame:
-    """(keys, f05): mean F0.5 over all ``ids`` (s1_id), for every row of ``grid`` (keys). Predictions of each key and
-    entity are counted first, so what meets the ids is one row per entity and key."""
+def macro_f05_by(pred: DataFrame, keys: Sequence[str], grid: Sequence[tuple], ids: DataFrame, truth: DataFrame) -> DataFrame:
+    """(keys, f05): mean F0.5 over all ``ids`` (s1_id), for every tuple of key values in ``grid``. Predictions of each
+    setting and entity are counted first, so what meets the ids is one row per entity and setting."""
     keys = list(keys)
+    settings = None if not keys else F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, g)]) for g in grid])).alias("g")
     n_true = truth.distinct().groupBy("s1_id").agg(F.count("*").alias("n_true"))
     hit = pred.select(*keys, *PAIR).distinct().join(truth.distinct().withColumn("hit", F.lit(1)), PAIR, "left")
     counts = hit.groupBy(*keys, "s1_id").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))
     entities = ids.select("s1_id").distinct().join(n_true, "s1_id", "left").fillna(0, ["n_true"])
-    each = entities.crossJoin(grid) if keys else entities
+    each = entities.select("*", settings).select("s1_id", "n_true", "g.*") if keys else entities
     each = each.join(counts, [*keys, "s1_id"], "left").fillna(0, ["n_pred", "tp"])
     value = F.round(F.avg(f05(F.col("tp"), F.col("n_pred"), F.col("n_true"))), 6).alias("f05")
     return each.groupBy(*keys).agg(value) if keys else each.agg(value)
 
 
 def macro_f05(ids: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
-    return macro_f05_by(pred, [], None, ids, truth)
+    return macro_f05_by(pred, [], [], ids, truth)
 
 
 def entity_f05(ids: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -82,5 +83,4 @@ def oracle_variants(scored: DataFrame, ids: DataFrame, pred: DataFrame, truth: D
     for name, p in variants.items():
         one = p.withColumn("variant", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    grid = scored.sparkSession.createDataFrame([(n,) for n in variants], "variant string")
-    return macro_f05_by(out, ["variant"], F.broadcast(grid), ids, truth)
+    return macro_f05_by(out, ["variant"], [(n,) for n in variants], ids, truth)

@@ -58,8 +58,7 @@ def fit_idf(pool: DataFrame, tf: DataFrame, field: Field, keys: Sequence[str]) -
     """(keys, term, idf): ln((1 + n) / (1 + df)) + 1 for terms within the field's limits; n counts all pool records."""
     n = pool.groupBy(*keys).agg(F.count("*").alias("n"))
     df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    n = F.broadcast(n)  # one row per country and source
-    kept = (df.join(n, list(keys)) if keys else df.crossJoin(n)).where((F.col("df") >= field.min_df) & (F.col("df") <= field.max_df * F.col("n")))
+    kept = (df.join(n, list(keys)) if keys else df.crossJoin(F.broadcast(n))).where((F.col("df") >= field.min_df) & (F.col("df") <= field.max_df * F.col("n")))
     return kept.select(*keys, "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinfold.functions.lexicon import US_STATES
 from kinfold.functions.similarity import similarities, tri_state
 from kinfold.operators import decide as dc
 from kinfold.operators import features as ft
@@ -17,9 +18,9 @@ from kinfold.operators import normalize as nm
 from kinfold.operators import retrieve as rt
 from kinfold.operators import sampling as sp
 from kinfold.plans import golden
-from kinfold.plans.views import IDS_SQL, PAIRS_SQL, RECORDS_SQL, TRUTH_SQL, businesses, ids, pairs, records, table, truth
+from kinfold.plans.views import IDS_SQL, PAIRS_SQL, RECORDS_SQL, STATE_CODES, TRUTH_SQL, businesses, ids, pairs, records, table, truth
 from kinfold.sources import tables as io
-from kinfold.sources.storage import scratch_path
+from kinfold.sources.storage import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,11 +104,14 @@ def norm_golden_address_texts(spark: SparkSession, d: str) -> DataFrame:
     return nm.with_addresses(df, "raw").select("raw", "country", "addr_norm")
 
 
+STATE_NAMES_SQL = "[" + ", ".join(f"'{US_STATES[c]}'" for c in STATE_CODES) + "]"
+
+
 @query(
-    """SELECT (CASE p_partkey % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END) || p_partkey AS entity_id,
+    f"""SELECT (CASE p_partkey % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END) || p_partkey AS entity_id,
        p_name || ' ' || lower(p_type) || ' and sons pvt ltd 00' || p_partkey AS name_norm, p_name || ' ' || lower(p_type) || ' and sons' AS name_core,
        'ltd pvt' AS name_legal, left(p_name, 1) || left(split_part(p_name, ' ', 2), 1) || left(lower(p_type), 1) || 's' AS name_initials,
-       'north carolina' AS addr_state, 'us' AS country_norm, CAST((p_partkey % 500) AS VARCHAR) || ' ' || (p_partkey % 90) || ' main st ' || replace(lower(p_brand), '#', ' ') AS addr_norm
+       {STATE_NAMES_SQL}[p_partkey % {len(STATE_CODES)} + 1] AS addr_state, 'us' AS country_norm, CAST((p_partkey % 500) AS VARCHAR) || ' ' || (p_partkey % 90) || ' main st ' || replace(lower(p_brand), '#', ' ') AS addr_norm
        FROM part"""
 )
 def norm_records(spark: SparkSession, d: str) -> DataFrame:
@@ -235,9 +239,14 @@ def retrieve_char_grams(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.explode(rt.terms(F.col("p_name"), "char_wb")).alias("gram"))
 
 
+def _clean(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised records as a table: many branches read them."""
+    return materialize(nm.normalize_records(businesses(spark, d)))
+
+
 @query()
 def retrieve_blocked_candidates(spark: SparkSession, d: str) -> DataFrame:
-    done = nm.normalize_records(businesses(spark, d))
+    done = _clean(spark, d)
     pools = {s: done.where(F.col("source") == s) for s in ("S2", "S3")}
     return rt.generate_candidates(done.where("source = 'S1'"), pools)
 
@@ -526,11 +535,11 @@ def sim_name_kernels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _featured(spark: SparkSession, d: str) -> DataFrame:
-    done = nm.normalize_records(businesses(spark, d))
-    done = lk.add_frequencies(done, done.where("source <> 'S1'"))
+    done = _clean(spark, d)
+    done = materialize(lk.add_frequencies(done, done.where("source <> 'S1'")))
     pools = {s: done.where(F.col("source") == s) for s in ("S2", "S3")}
     found = rt.generate_candidates(done.where("source = 'S1'"), pools, (rt.SearchPath("addr", (rt.Field("addr_norm", max_df=0.2),), 3), rt.SearchPath("both", (rt.Field("name_norm", max_df=0.2, weight=0.6), rt.Field("addr_norm", weight=0.4, max_df=0.2)), 3)))
-    return ft.pair_features(found, done)
+    return ft.pair_features(materialize(found), done)
 
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -546,7 +555,7 @@ def sim_pair_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sim_word_features(spark: SparkSession, d: str) -> DataFrame:
-    done = nm.normalize_records(businesses(spark, d))
+    done = _clean(spark, d)
     return ft.word_features(_neighbours(spark, d), done, lk.token_idf(done))
 
 
@@ -617,7 +626,7 @@ def report_oracle_variants(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def report_normalisation_audit(spark: SparkSession, d: str) -> DataFrame:
     """Similarity before and after normalisation."""
-    done = nm.normalize_records(businesses(spark, d))
+    done = _clean(spark, d)
     side = lambda i, p: done.select(F.col("entity_id").alias(i), *[F.col(c).alias(f"{p}_{c}") for c in ("business_name", "name_norm", "business_address", "addr_norm", "addr_state")])
     j = _neighbours(spark, d).join(side("s1_id", "a"), "s1_id").join(side("cand_id", "b"), "cand_id").withColumns({f"{p}_low": F.lower(f"{p}_business_name") for p in "ab"})
     j = j.withColumn("s", similarities({"raw": ("ratio", F.col("a_low"), F.col("b_low")), "norm": ("ratio", F.col("a_name_norm"), F.col("b_name_norm")), "addr": ("token_set", F.col("a_addr_norm"), F.col("b_addr_norm"))}))
