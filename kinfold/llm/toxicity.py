@@ -23,10 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize
+from kinfold.llm.common import materialize, sliced
 
 TOKEN = re.compile(r"\w+")
 BLOCK = 32
+#: Odd factors that permute 64-bit hashes, one for each min-hash.
+MIXES = [np.uint64(xxhash.xxh64_intdigest(bytes([k]), 9) | 1) for k in range(6)]
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>"
 
 
@@ -36,18 +38,17 @@ def held_out():
 
 
 def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms and counts of labelled documents, and two min-hashes of their 5-word shingles."""
-    for part in parts:
-        terms, counts, first, second = [], [], [], []
+    """Terms and counts of labelled documents, and min-hashes of their 5-word shingles."""
+    for part in sliced(parts):
+        terms, counts, least = [], [], []
         for x in part.column(2):
             found = TOKEN.findall((x.as_py() or "").lower())
             count = Counter(found)
             terms.append(list(count))
             counts.append(list(count.values()))
-            shingles = {" ".join(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
-            for out, seed in ((first, 1), (second, 2)):
-                out.append(min(xxhash.xxh3_64_intdigest(s, seed) for s in shingles) >> 1)
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())), pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["doc_id", "toxic", "terms", "counts", "m1", "m2"])
+            h = np.array([xxhash.xxh3_64_intdigest(" ".join(found[i : i + 5])) for i in range(max(1, len(found) - 4))], np.uint64)
+            least.append([int((h * m).min() >> np.uint64(1)) for m in MIXES])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts", "least"])
 
 
 @dataclass
@@ -175,14 +176,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_term
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_examples)
     chosen = materialize(chosen)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    sample = materialize(texts.mapInArrow(_features, "doc_id long, toxic int, terms array<string>, counts array<long>, m1 long, m2 long"))
-    rows = sorted(tuple(r) for r in sample.select("doc_id", "toxic", "m1", "m2").collect())
+    sample = materialize(texts.mapInArrow(_features, "doc_id long, toxic int, terms array<string>, counts array<long>, least array<long>"))
+    rows = sorted((r[0], r[1], tuple(r[2])) for r in sample.select("doc_id", "toxic", "least").collect())
     seen: set[tuple[int, int]] = set()
     kept = []
-    for doc_id, toxic, m1, m2 in rows:
-        if (1, m1) not in seen and (2, m2) not in seen:
+    for doc_id, toxic, least in rows:
+        marks = set(enumerate(least))
+        if not marks & seen:
             kept.append((doc_id, toxic))
-        seen |= {(1, m1), (2, m2)}
+        seen |= marks
     n1 = sum(t for _, t in kept)
     n0 = len(kept) - n1
     spark = docs.sparkSession
@@ -226,7 +228,7 @@ def score_with(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for part in parts:
+        for part in sliced(parts):
             got = [m.score(*m.vector(x.as_py())) for x in part.column(2)]
             score = [g[0] for g in got]
             yield pa.RecordBatch.from_arrays(
@@ -244,7 +246,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000) -
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for part in parts:
+        for part in sliced(parts):
             keep = [m.score(*m.vector(x.as_py()))[0] < 0.5 for x in part.column(at)]
             yield part.filter(pa.array(keep, pa.bool_()))
 
