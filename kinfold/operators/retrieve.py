@@ -146,3 +146,16 @@ def recall_at(truth: DataFrame, pairs: DataFrame, rank: str, ks: Sequence[int])
     hit = truth.join(pairs.select("s1_id", "cand_id", F.col(rank).alias("r")), ["s1_id", "cand_id"], "left")
     each = hit.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     return each.groupBy("k").agg(F.round(F.avg(F.coalesce(F.col("r").between(1, F.col("k")), F.lit(False)).cast("double")), 6).alias("recall"))
+
+
+def sweep_paths(queries: DataFrame, pool: DataFrame, truth: DataFrame, variants: dict[str, SearchPath], ks: Sequence[int], keys: Sequence[str] = (), blocked: bool = False) -> DataFrame:
+    """(variant, k, recall, per_query) for settings of a search path: what a tighter ``max_df`` or ``query_top`` costs in
+    recall and saves in candidates."""
+    out = None
+    for name, path in variants.items():
+        found = search(queries, pool, path, keys, blocked=blocked, digits=6)
+        kept = found.select("s1_id", "cand_id", F.col(f"{path.name}_rank").alias("r")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("r <= k")
+        size = kept.groupBy("k").agg(F.round(F.count("*") / F.count_distinct("s1_id"), 6).alias("per_query"))
+        one = recall_at(truth, found, f"{path.name}_rank", ks).join(size, "k", "left").select(F.lit(name).alias("variant"), "k", "recall", "per_query")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -223,6 +223,17 @@ def retrieve_recall(spark: SparkSession, d: str) -> DataFrame:
     return rt.recall_at(held, _benchmark_hits(spark, d), "word_rank", [1, 5, 10])
 
 
+@query()
+def retrieve_path_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and candidates of the benchmark search under tighter settings."""
+    b = table(spark, d, "benchmark")
+    q = b.select(F.col("item_id").alias("entity_id"), "text")
+    docs = table(spark, d, "documents")
+    held = docs.join(F.broadcast(b.select(F.col("item_id").alias("s1_id"), F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage"))).select("s1_id", F.col("doc_id").alias("cand_id"))
+    variants = {f"max_df={m},query_top={t}": rt.SearchPath("word", (rt.Field("text", max_df=m, query_top=t),), 10) for m, t in ((0.2, 0), (0.05, 0), (0.05, 8))}
+    return rt.sweep_paths(q, docs.select(F.col("doc_id").alias("entity_id"), "text"), held, variants, [1, 10])
+
+
 @query(
     "SELECT cand_id, s1_id, score FROM (SELECT *, max(score) OVER (PARTITION BY cand_id) AS m FROM top WHERE rank <= 10) WHERE score >= m AND score >= 0.3",
     (TFIDF_SQL,),
