@@ -15,13 +15,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import sliced
+
 MARK = "▁"  # stands for a space in pieces
-#: Words kept with their ids in each Python worker; only speed depends on it.
-CACHE_WORDS = 1_000_000
+#: Words kept with their ids in each Python worker, twice at most; only speed depends on it.
+CACHE_WORDS = 300_000
 
 
 class PieceBPE:
@@ -45,8 +48,11 @@ class PieceBPE:
         stop = "" if "\n" in inside or "\n" in self.id_of else "\n"  # no piece holds it: text can be cut around it
         self.segment = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + f"|{stop}" * bool(stop))
         self.listed: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.first_plain = min(plain)
         self.odd: dict[str, str] = {}
-        self.compatible = lru_cache(maxsize=300_000)(self._compatible)
+        self.old_odd: dict[str, str] = {}
+        self.compatible = lru_cache(maxsize=100_000)(self._compatible)
         # Only pieces that their own text encodes to can be in a result; the automaton holds these.
         self.auto = ahocorasick.Automaton()
         for p in self.id_of:
@@ -137,18 +143,24 @@ class PieceBPE:
 
     def list_ids(self, segment: str) -> str:
         """Ids of a segment, joined by commas, kept for the next time; notes segments that decode to other text."""
-        if len(self.listed) >= CACHE_WORDS:
-            self.listed.clear()
-            self.odd.clear()
-        ids = self._encode_segment(segment)
-        text = self.decode((self.id_of[MARK], *ids))  # a mark ahead is what decoding drops
-        if text != segment.replace(MARK, " "):
-            self.odd[segment] = text
-        out = ",".join(map(str, ids))
-        if len(segment) <= 64:
-            self.listed[segment] = out
+        out = self.old.get(segment)
+        if out is None:
+            ids = self._encode_segment(segment)
+            out = ",".join(map(str, ids))
+            if min(ids) < self.first_plain:  # else the ids' pieces are the segment's own letters
+                text = self.decode((self.id_of[MARK], *ids))  # a mark ahead is what decoding drops
+                if text != segment.replace(MARK, " "):
+                    self.odd[segment] = text
+        elif segment in self.old_odd:
+            self.odd[segment] = self.old_odd[segment]
+        self.listed[segment] = out
         return out
 
+    def turn(self) -> None:
+        """Between documents: a full table becomes the old one, from which words that come again are taken over."""
+        if len(self.listed) >= CACHE_WORDS or len(self.odd) >= CACHE_WORDS // 10:
+            self.old, self.old_odd, self.listed, self.odd = self.listed, self.odd, {}, {}
+
     def segments(self, text: str) -> list[str]:
         return self.segment.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -214,10 +226,11 @@ def token_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(model)
-        known, add, odd = bpe.listed.get, bpe.list_ids, bpe.odd
-        for part in parts:
+        for part in sliced(parts):
             n, digests, texts, all_ids = [], [], [], []
             for x in part.column(part.num_columns - 1):
+                bpe.turn()
+                known, add, odd = bpe.listed.get, bpe.list_ids, bpe.odd
                 found = bpe.segments(x.as_py() or "")
                 csv = ",".join([known(s) or add(s) for s in found])
                 n.append(csv.count(",") + 1 if csv else 0)
@@ -225,8 +238,9 @@ def token_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
                 # segments begin and end between characters, so they decode one by one
                 text = "".join([odd.get(s, s) for s in found] if odd else found).replace(MARK, " ")
                 texts.append(hashlib.sha256(text[text.startswith(" ") :].encode("utf-8", "surrogatepass")).hexdigest())
-                all_ids.append(list(map(int, csv.split(","))) if with_ids and csv else [])
-            columns = [part.column(k) for k in range(part.num_columns - 1)] + ([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])
+                if with_ids:
+                    all_ids.append(np.fromstring(csv, np.int32, sep=",") if csv else np.zeros(0, np.int32))
+            columns = [part.column(k) for k in range(part.num_columns - 1)] + ([pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, all_ids)]), pa.int32()), pa.array(np.concatenate(all_ids)))] if with_ids else [])
             columns += [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
 
