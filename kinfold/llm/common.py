@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.sources.storage import materialize, shared_dir
 
-__all__ = ["SPACE", "let", "materialize", "shared_dir", "words"]
+__all__ = ["SPACE", "let", "looked_up", "materialize", "only_keys", "shared_dir", "sliced", "words"]
 
 #: ASCII white space that separates words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 
+#: Rows of a key table that may be broadcast (some 32 MB); larger tables are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def only_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` whose key ``on`` is in ``keys``. A small table of keys filters in place, so that texts which a following
+    shuffle would move for nothing stay where they are."""
+    distinct = materialize(keys.select(*on).distinct())
+    return rows.join(F.broadcast(distinct) if distinct.count() <= BROADCAST_ROWS else distinct, on, "left_semi")
+
+
+def looked_up(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """Left join of wide ``rows`` with a written table ``found`` that has one row per key. If few keys are in it, the
+    other rows aren't shuffled; if it is large, it is a plain join."""
+    if found.count() > BROADCAST_ROWS:
+        return rows.join(found, on, "left")
+    keys = F.broadcast(found.select(*on))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields if f.name not in on]
+    return rows.join(keys, on, "left_semi").join(found, on).unionByName(rows.join(keys, on, "left_anti").select("*", *rest))
+
 
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; a null text has none."""
@@ -21,3 +44,10 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for ``body``: lambdas inside would else evaluate an inlined expression for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sliced(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices: what a task holds as Python objects at once stays small, however large batches are."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import SPACE, materialize
+from kinfold.llm.common import BROADCAST_ROWS, SPACE, materialize
 
 #: Documents a bucket of the first level holds, and residuals that meet in a later one.
 BUCKET, FAN_IN = 2048, 64
@@ -147,19 +147,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: flo
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 42) -> DataFrame:
-    """The mixed corpus: the rows of ``docs`` with all their columns, each as often as the mix takes it. Documents
-    without words have no mass to mix and are kept once."""
+    """The mixed corpus: the rows of ``docs`` with all their columns, each as often as the mix takes it. Rows with equal
+    id, source and text share one draw. Documents without words have no mass to mix and are kept once."""
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-(2**63))), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
-    order = Window.partitionBy("kf_key").orderBy("kf_key")
-    keyed = docs.withColumn("kf_key", key).withColumn("kf_rank", F.row_number().over(order))
     sizes = materialize(docs.select(F.col("source").cast("string"), key.alias("key"), word_count(F.col("text")).alias("size")))
-    targets = materialize(source_targets(sizes, weights, most).withColumn("grp", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())))
+    grp = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())
+    targets = materialize(source_targets(sizes, weights, most).withColumn("grp", grp)).drop("source")
     small = F.broadcast(targets) if targets.count() <= 10_000 else targets
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    items = sizes.withColumn("source_null", F.col("source").isNull()).join(small.drop("source"), F.xxhash64(F.coalesce("source", F.lit("")), F.col("source_null")) == F.col("grp"))
-    counts = pivotal_counts(items.select("grp", "key", "size", rate.alias("rate")), seed)
-    counts = counts.select(F.col("key").alias("kf_key"), F.col("n").alias("kf_n")).withColumn("kf_rank", F.row_number().over(Window.partitionBy("kf_key").orderBy("kf_n")))
-    out = keyed.join(counts, ["kf_key", "kf_rank"])
-    times = F.when(word_count(F.col("text")) == 0, F.lit(1)).otherwise(F.col("kf_n").cast("int"))
-    repeated = out.withColumn("kf_copy", F.explode(F.array_repeat(F.lit(0), times)))
-    return repeated.select(*docs.columns)
+    once = sizes.withColumn("grp", grp).groupBy("grp", "key").agg(F.sum("size").alias("size"))
+    counts = pivotal_counts(once.join(small, "grp").select("grp", "key", "size", rate.alias("rate")), seed)
+    times = materialize(counts.select(F.col("key").alias("kf_key"), F.when(F.col("size") == 0, 1).otherwise(F.col("n")).cast("int").alias("kf_n")).dropDuplicates(["kf_key"]))
+    times = F.broadcast(times) if times.count() <= BROADCAST_ROWS else times
+    out = docs.withColumn("kf_key", key).join(times, "kf_key")
+    return out.withColumn("kf_copy", F.explode(F.array_repeat(F.lit(0), F.col("kf_n")))).select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize
+from kinfold.llm.common import BROADCAST_ROWS, materialize, only_keys, sliced
 from kinfold.llm.components import connected_components, forest
 
 #: Pairs of (query, tree node) looked at together; bounds the memory of a search.
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp) of every document; fp is the fingerprint's bits as a signed long."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             got = np.fromiter((fingerprint(x.as_py(), shingle) for x in part.column(1)), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
 
@@ -216,27 +216,29 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFr
     return found.join(group, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sampled_masks(expected: int, bits_off: int = 11, recall: float = 0.97, seed: int = 42) -> list[int]:
-    """Masks of random bit subsets, large enough to leave some 64 of ``expected`` random fingerprints in a shard, and
-    so many that fingerprints ``bits_off`` bits apart share a shard with probability ``recall``."""
+def sampled_masks(expected: int, bits_off: int = 27, recall: float = 0.97, seed: int = 42) -> list[tuple[int, int]]:
+    """Masks (of fp, of fp2) of random bit subsets of the 128, large enough to leave some 64 of ``expected`` random
+    fingerprints in a shard, and so many that ones ``bits_off`` bits apart share a shard with probability ``recall``."""
     size = int(np.clip(np.ceil(np.log2(max(expected, 1) / 64)), 6, 24))
-    met = np.prod([(64 - bits_off - i) / (64 - i) for i in range(size)])
+    met = np.prod([(128 - bits_off - i) / (128 - i) for i in range(size)])
     rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.permutation(64)[:size]) for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - met))))]
+    picks = [rng.permutation(128)[:size] for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - met))))]
+    return [(sum(1 << int(b) for b in p if b < 64), sum(1 << int(b - 64) for b in p if b >= 64)) for p in picks]
 
 
 def shingle_set(text: str | None, shingle: int) -> list[int]:
+    """32-bit hashes of a text's word shingles; two of a text's shingles hardly ever share one."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     pieces = {b" ".join(found[i : i + shingle]) for i in range(max(1, len(found) - shingle + 1))}
-    return sorted({xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in pieces})
+    return sorted({(xxhash.xxh3_64_intdigest(p) >> 32) - (1 << 31) for p in pieces})
 
 
 def _hashed(shingle: int, what: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             text = [x.as_py() for x in part.column(1)]
             if what == "set":
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, shingle) for x in text], pa.list_(pa.int64()))], ["text_key", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, shingle) for x in text], pa.list_(pa.int32()))], ["text_key", "shingles"])
             else:
                 two = [pa.array(np.fromiter((fingerprint(x, shingle, seed) for x in text), np.uint64, len(text)).view(np.int64)) for seed in (42, 43)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *two], ["text_key", "fp", "fp2"])
@@ -244,7 +246,7 @@ def _hashed(shingle: int, what: str):
     return run
 
 
-def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, both: int = 32, shard_rows: int = 4096) -> DataFrame:
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, both: int = 36, shard_rows: int = 4096) -> DataFrame:
     """Groups of texts whose word-shingle sets have a Jaccard similarity of ``similarity`` or more. ``texts`` has
     text_key (equal for equal texts) and text; returns (text_key, part) for texts in groups of more than one key.
 
@@ -252,13 +254,13 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     ``both`` bits of 128. Links that the exact similarity refutes are dropped before components are formed."""
     found = materialize(texts.select("text_key", "text").mapInArrow(_hashed(shingle, "fingerprints"), "text_key long, fp long, fp2 long").distinct())
     nodes = materialize(found.groupBy("fp", "fp2").agg(F.min("text_key").alias("id")))
-    masks = [_signed(x) for x in sampled_masks(nodes.count())]
-    keyed = nodes.select("fp", "fp2", "id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("choice", "bits"))
-    keyed = keyed.select(F.xxhash64("choice", "bits").alias("shard"), "fp", "fp2", "id")
+    masks = [(_signed(x), _signed(y)) for x, y in sampled_masks(nodes.count())]
+    shards = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(x)), F.col("fp2").bitwiseAND(F.lit(y))) for k, (x, y) in enumerate(masks)]
+    keyed = nodes.select("fp", "fp2", "id", F.explode(F.array(*shards)).alias("shard")).select("shard", "fp", "fp2", "id")
     links = materialize(_deal(keyed, shard_rows).mapInArrow(_links(radius, both), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = links.select(F.col("a").alias("text_key")).union(links.select("b")).distinct()
-    sets = texts.select("text_key", "text").join(ends, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = materialize(sets.mapInArrow(_hashed(shingle, "set"), "text_key long, shingles array<long>"))
+    sets = only_keys(texts.select("text_key", "text"), ends, ["text_key"]).groupBy("text_key").agg(F.first("text").alias("text"))
+    sets = materialize(sets.mapInArrow(_hashed(shingle, "set"), "text_key long, shingles array<int>"))
     pairs = links.join(sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     true = pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -276,5 +278,10 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     slim = docs.select(text_key.alias("text_key"), row_key.alias("kf_row"), F.col("doc_id").cast("long").alias("doc_id"))
     grouped = slim.join(parts, "text_key", "left").select(F.coalesce("part", F.xxhash64(F.lit("one"), F.col("text_key"))).alias("part"), "kf_row", "doc_id")
     stays = grouped.groupBy("part").agg(F.min_by("kf_row", F.struct(F.col("doc_id").isNull(), "doc_id", "kf_row")).alias("kf_row")).select("kf_row")
+    many = slim.groupBy("kf_row").agg(F.count("*").alias("n")).where("n > 1").select("kf_row", F.lit(True).alias("kf_many"))
+    stays = materialize(stays.join(many, "kf_row", "left").fillna(False, ["kf_many"]))
+    listed = F.broadcast(stays) if stays.count() <= BROADCAST_ROWS else stays
+    kept = docs.withColumn("kf_row", row_key).join(listed, "kf_row")
     first = F.row_number().over(Window.partitionBy("kf_row").orderBy("kf_row"))
-    return docs.withColumn("kf_row", row_key).join(stays, "kf_row", "left_semi").withColumn("kf_first", first).where("kf_first = 1").select(*docs.columns)
+    repeated = kept.where("kf_many").withColumn("kf_first", first).where("kf_first = 1")
+    return kept.where("not kf_many").select(*docs.columns).unionByName(repeated.select(*docs.columns))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize
+from kinfold.llm.common import looked_up, materialize, only_keys, sliced
 
 LENGTH, GRAM = 400, 64
 REACH = LENGTH - GRAM  # windows of an anchor start up to this far before it
@@ -111,7 +111,7 @@ def anchors(data: bytes) -> tuple[list[int], list[int], list[tuple[int, int]]]:
 
 
 def _anchor_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
+    for part in sliced(parts):
         got = [anchors(x.as_py().encode("utf-8", "surrogatepass")) for x in part.column(2)]
         spans = [[{"a": a, "b": b} for a, b in g[2]] for g in got]
         yield pa.RecordBatch.from_arrays(
@@ -122,22 +122,20 @@ def _anchor_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k1, k2, text, spots) to a row for each anchor with the bytes around."""
-    for whole in parts:
-        for lo in range(0, whole.num_rows, 64):
-            part = whole.slice(lo, 64)
-            row, h, pos, off, ctx = [], [], [], [], []
-            for i, (text, spots) in enumerate(zip(part.column(2), part.column(3))):
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                for s in spots.as_py():
-                    p = s["pos"]
-                    a = max(0, p - REACH)
-                    row.append(i)
-                    h.append(s["h"])
-                    pos.append(p)
-                    off.append(p - a)
-                    ctx.append(data[a : p + LENGTH])
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), part.column(0).take(at), part.column(1).take(at), pa.array(pos, pa.int32()), pa.array(off, pa.int32()), pa.array(ctx, pa.binary())], ["h", "k1", "k2", "pos", "off", "ctx"])
+    for part in sliced(parts, 64):
+        row, h, pos, off, ctx = [], [], [], [], []
+        for i, (text, spots) in enumerate(zip(part.column(2), part.column(3))):
+            data = text.as_py().encode("utf-8", "surrogatepass")
+            for s in spots.as_py():
+                p = s["pos"]
+                a = max(0, p - REACH)
+                row.append(i)
+                h.append(s["h"])
+                pos.append(p)
+                off.append(p - a)
+                ctx.append(data[a : p + LENGTH])
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), part.column(0).take(at), part.column(1).take(at), pa.array(pos, pa.int32()), pa.array(off, pa.int32()), pa.array(ctx, pa.binary())], ["h", "k1", "k2", "pos", "off", "ctx"])
 
 
 def _dense(x: np.ndarray) -> np.ndarray:
@@ -247,7 +245,7 @@ def _window_digests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         start.append(pos - off + a)
                         digests.append(xxhash.xxh3_128_digest(ctx[a : a + LENGTH]))
             at = pa.array(row, pa.int64())
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2) if digests else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), part.column(1).take(at), part.column(2).take(at), pa.array(start, pa.int32())], ["d1", "d2", "k1", "k2", "a"])
 
 
@@ -264,7 +262,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, whole, spans) to results."""
-    for part in parts:
+    for part in sliced(parts):
         out = []
         for doc_id, text, whole, spans in zip(*(part.column(k) for k in range(4))):
             data = text.as_py().encode("utf-8", "surrogatepass")
@@ -284,7 +282,8 @@ def repeated_spans(texts: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     each = once.select("k1", "k2", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("k1", "k2", "x.pos", "x.h")
     often = materialize(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     spots = each.join(often, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "h")).alias("spots"))
-    bare = long.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    spots = materialize(spots)
+    bare = only_keys(long.select("k1", "k2", "text"), spots, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"))
     contexts = bare.join(spots, ["k1", "k2"]).select("k1", "k2", "text", "spots").mapInArrow(_contexts, "h long, k1 long, k2 long, pos int, off int, ctx binary")
     large = often.where(F.col("n") > bucket_rows).select("h")
     n_large = large.count()
@@ -314,8 +313,8 @@ def suffix_dedup(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     empty table gives no rows; extra columns are ignored."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
-    found = repeated_spans(base, bucket_rows)
-    rows = base.join(found, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
+    found = materialize(repeated_spans(base, bucket_rows))
+    rows = looked_up(base, found, ["k1", "k2"]).select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
@@ -325,13 +324,13 @@ def remove_repeats(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({"kf_k1": F.xxhash64(text), "kf_k2": F.xxhash64(F.lit(1), text)})
     found = repeated_spans(keyed.select(F.col("kf_k1").alias("k1"), F.col("kf_k2").alias("k2"), text.alias("text")), bucket_rows)
-    found = found.select(F.col("k1").alias("kf_k1"), F.col("k2").alias("kf_k2"), F.col("whole").alias("kf_whole"), F.col("spans").alias("kf_spans"))
-    rows = keyed.join(found, ["kf_k1", "kf_k2"], "left").select(*docs.columns, F.coalesce("kf_whole", F.lit(False)).alias("kf_whole"), "kf_spans")
+    found = materialize(found.select(F.col("k1").alias("kf_k1"), F.col("k2").alias("kf_k2"), F.col("whole").alias("kf_whole"), F.col("spans").alias("kf_spans")))
+    rows = looked_up(keyed, found, ["kf_k1", "kf_k2"]).select(*docs.columns, F.coalesce("kf_whole", F.lit(False)).alias("kf_whole"), "kf_spans")
     names = docs.columns
     at, n = names.index("text"), len(names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             texts, stays = [], []
             for text, whole, spans in zip(part.column(at), part.column(n), part.column(n + 1)):
                 kept = text.as_py()
