@@ -150,7 +150,7 @@ def digests(library, text):
 
 
 def test_token_digests(spark, both):
-    for docs in (documents(spark), odd_docs(spark)):
+    for docs in (documents(spark, "sf0.01"), odd_docs(spark)):
         got = token_digests(docs, model_path(), with_ids=True).collect()
         assert sorted(((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got)) == sorted(digests(both[1], r.text) for r in docs.collect())
         assert all(len(r.ids) == r.n_tokens for r in got)
