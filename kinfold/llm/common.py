@@ -51,3 +51,4 @@ def sliced(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Reco
     for part in parts:
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks

@@ -24,7 +24,7 @@ from kinfold.llm.common import sliced
 
 MARK = "▁"  # stands for a space in pieces
 #: Words kept with their ids in each Python worker, twice at most; only speed depends on it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 
 class PieceBPE:
@@ -52,18 +52,19 @@ class PieceBPE:
         self.first_plain = min(plain)
         self.odd: dict[str, str] = {}
         self.old_odd: dict[str, str] = {}
-        self.compatible = lru_cache(maxsize=100_000)(self._compatible)
+        self.known: dict[int, bool] = {}
         # Only pieces that their own text encodes to can be in a result; the automaton holds these.
         self.auto = ahocorasick.Automaton()
-        for p in self.id_of:
+        for p, i in self.id_of.items():
             if len(p) == 1 or self.merge(p) == [p]:
-                self.auto.add_word(p, p)
+                self.auto.add_word(p, i)
         self.auto.make_automaton()
-        self.shorter = {}  # the longest piece that is a proper beginning of a piece
+        self.length = [len(p) for p in self.pieces]
+        self.shorter = [-1] * len(self.pieces)  # the longest piece that is a proper beginning of a piece
         for p in self.auto.keys():
             for k in range(len(p) - 1, 0, -1):
                 if p[:k] in self.auto:
-                    self.shorter[p] = p[:k]
+                    self.shorter[self.id_of[p]] = self.id_of[p[:k]]
                     break
 
     def merge(self, text: str) -> list[str]:
@@ -94,40 +95,57 @@ class PieceBPE:
                 offer(before[i])
         return [s for s in symbol if s]
 
-    def _compatible(self, left: str, right: str) -> bool:
-        return self.merge(left + right) == [left, right]
+    def _compatible(self, left: int, right: int) -> bool:
+        """Whether two neighbours stay as they are when their joined text is merged again; kept for the next time."""
+        a, b = self.pieces[left], self.pieces[right]
+        out = self.known[left << 16 | right] = self.merge(a + b) == [a, b]
+        return out
 
-    def _backtrack(self, text: str) -> list[str]:
+    def _backtrack(self, text: str) -> list[int]:
+        """Ids of the pieces of a segment; -1 for a character without a piece, which stands alone, as bytes, and merges
+        with nothing."""
         n = len(text)
-        compatible, shorter, auto = self.compatible, self.shorter, self.auto
+        known, compatible, shorter, length, auto = self.known, self._compatible, self.shorter, self.length, self.auto
         failed = 0  # bit i: no way on from position i
-        path: list[str] = []
-        at, before = 0, None
+        path: list[int] = []
+        at, before = 0, -1
         matches = None  # longest matches from here on, as long as they are followed
         while at < n:
             matches = matches or auto.iter_long(text, at)
-            last, longest = next(matches, (-1, None))
-            if longest is None or last + 1 - len(longest) != at:
-                longest, matches = None, None
-            piece = longest or text[at]  # a character without a piece: alone, as bytes
+            last, piece = next(matches, (-1, -1))
+            longest = piece
+            if piece < 0 or last + 1 - length[piece] != at:
+                matches = None
+                if not failed >> at + 1 & 1:
+                    path.append(-1)
+                    at, before = at + 1, -1
+                    continue
+                piece = longest = -1
             while True:
-                while piece is not None and (failed >> at + len(piece) & 1 or not (before is None or compatible(before, piece))):
-                    piece = shorter.get(piece)
-                if piece is not None:
+                while piece >= 0:
+                    if not failed >> at + length[piece] & 1:
+                        if before < 0:
+                            break
+                        fits = known.get(before << 16 | piece)
+                        if fits or (fits is None and compatible(before, piece)):
+                            break
+                    piece = shorter[piece]
+                if piece >= 0:
                     break
                 # The failure depends on the piece before; the position is closed for good as an encoding of a
                 # prefix is unique: no other path that can succeed leads here.
                 failed |= 1 << at
                 if not path:
-                    return self.merge(text)
+                    return [self.id_of.get(p, -1) for p in self.merge(text)]
                 piece = path.pop()
-                at -= len(piece)
-                before = path[-1] if path else None
-                piece = shorter.get(piece)
+                at -= length[piece] if piece >= 0 else 1
+                before = path[-1] if path else -1
+                piece = shorter[piece] if piece >= 0 else -1
+                longest = -2  # whatever comes now, the matches ahead are others
             path.append(piece)
-            at += len(piece)
+            at += length[piece]
             before = piece
-            if piece is not longest:
+            if piece != longest:
                 matches = None
         return path
 
@@ -135,10 +153,21 @@ class PieceBPE:
         """Ids of a segment without a space inside. Pieces of spaces alone share one score, so that the order of their
         merges isn't fixed by neighbours: segments led by several spaces are merged plainly."""
         long = len(segment) > 1 << 14  # plain merging takes n log n and little memory whatever the segment
+        if long or segment.startswith(MARK * 2):
+            found = [self.id_of.get(p, -1) for p in self.merge(segment)]
+        else:
+            found = self._backtrack(segment)
+        if min(found) >= 0:
+            return tuple(found)
         out: list[int] = []
-        for p in self.merge(segment) if long or segment.startswith(MARK * 2) else self._backtrack(segment):
-            i = self.id_of.get(p)
-            out += [i] if i is not None else [self.byte_id[b] for b in p.encode("utf-8", "surrogatepass")]
+        at = 0
+        for i in found:
+            if i >= 0:
+                out.append(i)
+                at += len(self.pieces[i])
+            else:
+                out += [self.byte_id[b] for b in segment[at].encode("utf-8", "surrogatepass")]
+                at += 1
         return tuple(out)
 
     def list_ids(self, segment: str) -> str:
@@ -158,6 +187,8 @@ class PieceBPE:
 
     def turn(self) -> None:
         """Between documents: a full table becomes the old one, from which words that come again are taken over."""
+        if len(self.known) >= 2 * CACHE_WORDS:
+            self.known.clear()
         if len(self.listed) >= CACHE_WORDS or len(self.odd) >= CACHE_WORDS // 10:
             self.old, self.old_odd, self.listed, self.odd = self.listed, self.odd, {}, {}
 
