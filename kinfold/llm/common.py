@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,9 +47,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def release_memory() -> None:
+    """Give free memory back to the system: a Python worker lives on, idle, while other stages run."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def sliced(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices: what a task holds as Python objects at once stays small, however large batches are."""
     for part in parts:
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)
-    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+    release_memory()

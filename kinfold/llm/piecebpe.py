@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import sliced
+from kinfold.llm.common import release_memory, sliced
 
 MARK = "▁"  # stands for a space in pieces
 #: Words kept with their ids in each Python worker, twice at most; only speed depends on it.
@@ -185,6 +185,10 @@ class PieceBPE:
         self.listed[segment] = out
         return out
 
+    def forget(self) -> None:
+        """Drop the tables of words and neighbours."""
+        self.old, self.old_odd, self.listed, self.odd, self.known = {}, {}, {}, {}, {}
+
     def turn(self) -> None:
         """Between documents: a full table becomes the old one, from which words that come again are taken over."""
         if len(self.known) >= 2 * CACHE_WORDS:
@@ -246,10 +250,11 @@ def load(path: str) -> PieceBPE:
     return PieceBPE(path)
 
 
-def token_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+def token_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, forget: bool = False) -> DataFrame:
     """Encode and decode every text of ``docs``: the columns ``keep`` plus n_tokens, ids_sha256, decoded_sha256 and,
     if ``with_ids``, ids (array of int). A null text is empty and has no ids. ``model`` is a path that every executor
-    can open (the package of tokenizer files is installed there). Rows stay in place: no shuffle, repeated rows and
+    can open (the package of tokenizer files is installed there). With ``forget`` a task drops its word tables at its
+    end: slower, for workers that go on to other stages. Rows stay in place: no shuffle, repeated rows and
     empty tables need nothing special, extra columns are left out unless kept."""
     source = docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("kf_text"))
     extra = "ids array<int>, " if with_ids else ""
@@ -275,4 +280,8 @@ def token_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
             columns += [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+        if forget:
+            bpe.forget()
+            release_memory()
+
     return source.mapInArrow(run, f"{fields}, {extra}n_tokens long, ids_sha256 string, decoded_sha256 string")
