@@ -39,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, with digests of them and of the text that they decode to."""
-    return token_digests(docs, model_path(), keep=tuple(c for c in docs.columns if c != "text"), with_ids=True)
+    return token_digests(docs, model_path(), keep=tuple(c for c in docs.columns if c != "text"), with_ids=True, forget=True)
 
 
 STAGES = [
