@@ -182,7 +182,8 @@ def _deal(keyed: DataFrame, shard_rows: int) -> DataFrame:
     if n_large:
         listed = F.broadcast(large) if n_large <= 10_000 else large
         out = out.join(listed, "shard", "left_anti")
-        chunk = keyed.join(listed, "shard").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int"))
+        one = "id" if "id" in rest else "fp"
+        chunk = keyed.join(listed, "shard").withColumn("chunk", F.pmod(F.xxhash64(one, F.lit(7)), F.col("chunks")).cast("int"))
         other = chunk.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         side = F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2)
         cell = F.xxhash64("shard", F.least("chunk", "other"), F.greatest("chunk", "other"))
@@ -246,12 +247,74 @@ def _hashed(shingle: int, what: str):
     return run
 
 
+def _settled(similarity: float, both: int):
+    """Tasks get rows (shard, side, fp, fp2, id, shingles) sorted by shard, equal shards together, sides as in ``_links``.
+    Gives a spanning forest (a, b) of the pairs within ``both`` bits that the exact similarity confirms. Close pairs come
+    first, and a pair that confirmed links already join isn't compared: a group of copies costs a comparison a member."""
+
+    def solve(rows: pa.Table, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        side, ident = rows["side"].to_numpy(), rows["id"].to_numpy()
+        prints = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("fp", "fp2")])
+        held = rows["shingles"].combine_chunks()
+        size = np.diff(held.offsets.to_numpy()).astype(np.int64)
+        begin = np.cumsum(size) - size
+        codes = np.unique(held.flatten().to_numpy(), return_inverse=True)[1]
+        mark = np.zeros(len(codes), np.int64)
+        group = np.arange(len(side))
+        inside, least = np.flatnonzero(side < 2), -1
+        for most in (both // 3, 2 * both // 3, both):
+            for i in np.flatnonzero(side != 1):
+                near = inside[(group[inside] != group[i]) & ((inside > i) | (side[i] == 2))]
+                near = near[np.minimum(size[near], size[i]) >= similarity * np.maximum(size[near], size[i])]
+                off = np.bitwise_count(prints[:, near] ^ prints[:, i : i + 1]).sum(axis=0, dtype=np.int64)
+                near = near[(off > least) & (off <= most)]
+                if not len(near):
+                    continue
+                own, n = codes[begin[i] : begin[i] + size[i]], size[near]
+                first = np.cumsum(n) - n
+                mark[own] = 1
+                shared = np.add.reduceat(mark[codes[np.arange(n.sum()) + np.repeat(begin[near] - first, n)]], first)
+                mark[own] = 0
+                near = near[shared >= similarity * (n + size[i] - shared)]
+                if len(near):
+                    near = near[np.unique(group[near], return_index=True)[1]]
+                    out.append((np.full(len(near), ident[i]), ident[near]))
+                    group[np.isin(group, group[near])] = group[i]
+            least = most
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for part in parts:
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            shard = part.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if held and shard[lo] != last:
+                        solve(pa.Table.from_batches(held), out)
+                        held = []
+                    held.append(part.slice(lo, hi - lo))
+                    last = shard[lo]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+        out = []
+        if held:
+            solve(pa.Table.from_batches(held), out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+
+    return run
+
+
 def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, both: int = 36, shard_rows: int = 4096) -> DataFrame:
     """Groups of texts whose word-shingle sets have a Jaccard similarity of ``similarity`` or more. ``texts`` has
     text_key (equal for equal texts) and text; returns (text_key, part) for texts in groups of more than one key.
 
     Candidates are close SimHash pairs: within ``radius`` bits in BK-trees of shards by random bit subsets, and within
-    ``both`` bits of 128. Links that the exact similarity refutes are dropped before components are formed."""
+    ``both`` bits of 128. A spanning forest of them is checked on exact shingle sets. A forest link that the check
+    refutes may have stood for true ones, so all pairs within ``both`` bits of such a group of candidates are compared:
+    in one task, or in pairs of chunks if the group is large."""
     found = materialize(texts.select("text_key", "text").mapInArrow(_hashed(shingle, "fingerprints"), "text_key long, fp long, fp2 long").distinct())
     nodes = materialize(found.groupBy("fp", "fp2").agg(F.min("text_key").alias("id")))
     masks = [(_signed(x), _signed(y)) for x, y in sampled_masks(nodes.count())]
@@ -262,9 +325,17 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     sets = only_keys(texts.select("text_key", "text"), ends, ["text_key"]).groupBy("text_key").agg(F.first("text").alias("text"))
     sets = materialize(sets.mapInArrow(_hashed(shingle, "set"), "text_key long, shingles array<int>"))
     pairs = links.join(sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    true = pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    pairs = pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size("x").alias("x"), F.size("y").alias("y"))
+    judged = materialize(pairs.select("a", "b", (F.col("shared") >= similarity * (F.col("x") + F.col("y") - F.col("shared"))).alias("holds"), ((F.col("shared") == F.col("x")) & (F.col("shared") == F.col("y"))).alias("same")))
+    true = judged.where("holds").select("a", "b")
     twins = found.join(nodes, ["fp", "fp2"]).where("text_key <> id").select(F.col("text_key").alias("a"), F.col("id").alias("b"))  # equal in all 128 bits
+    if judged.where("not holds").count():
+        parts = materialize(connected_components(links))
+        unclear = parts.join(judged.where("not holds").select(F.col("a").alias("node")), "node").select("label").distinct()
+        members = parts.join(unclear, "label").select(F.col("label").alias("shard"), F.col("node").alias("text_key"))
+        members = members.join(judged.where("same").select(F.col("b").alias("text_key")), "text_key", "left_anti")  # its equal stands for it
+        members = materialize(members.join(found, "text_key").join(sets, "text_key").select("shard", "fp", "fp2", F.col("text_key").alias("id"), "shingles"))
+        true = true.unionByName(_deal(members, shard_rows // 2).mapInArrow(_settled(similarity, both), "a long, b long"))
     return connected_components(true.unionByName(twins)).select(F.col("node").alias("text_key"), F.col("label").alias("part"))
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from kinfold.llm.components import connected_components
-from kinfold.llm.simhash import BKForest, fingerprint, hamming_links, near_dedup, shingle_set, simhash_groups
+from kinfold.llm.simhash import BKForest, fingerprint, hamming_links, near_dedup, shingle_set, simhash_groups, similar_texts
 
 from .helpers import documents, odd_docs
 
@@ -118,3 +118,32 @@ def test_stage_keeps_dissimilar_documents_and_odd_rows(spark):
     assert kept == {i for i, g in groups.items() if i == g}
     assert len({r.text for r in near_dedup(odd_docs(spark)).collect()}) == near_dedup(odd_docs(spark)).count()
     assert near_dedup(odd_docs(spark).limit(0)).count() == 0
+
+
+def star(n, seed=3):
+    """A base of 300 words and ``n`` copies with 6 words changed each, 50 apart: similar to the base, not to each other."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n + 1):
+        u = list(base)
+        for k in range(6):
+            u[50 * k + rnd.randrange(5, 45)] = word()
+        rows.append((i, " ".join(u)))
+    return rows
+
+
+def test_stage_keeps_one_of_a_star(spark):
+    rows = star(300)
+    sets = [set(shingle_set(t, 5)) for _, t in rows]
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(jaccard(0, i) >= 0.8 for i in range(1, 301)) and sum(jaccard(i, i + 1) < 0.8 for i in range(1, 300)) > 290
+    got = [r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [0], len(got)
+
+
+def test_stage_compares_large_groups_in_chunks(spark):
+    texts = spark.createDataFrame(star(300), "text_key long, text string")
+    parts = similar_texts(texts, shard_rows=64).collect()
+    assert len(parts) == 301 and len({r.part for r in parts}) == 1
