@@ -312,7 +312,8 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     text_key (equal for equal texts) and text; returns (text_key, part) for texts in groups of more than one key.
 
     Candidates are close SimHash pairs: within ``radius`` bits in BK-trees of shards by random bit subsets, and within
-    ``both`` bits of 128. A spanning forest of them is checked on exact shingle sets. A forest link that the check
+    ``both`` bits of 128. A spanning forest of them, and each text of equal bits with one of them, is checked on exact
+    shingle sets. A forest link that the check
     refutes may have stood for true ones, so all pairs within ``both`` bits of such a group of candidates are compared:
     in one task, or in pairs of chunks if the group is large."""
     found = materialize(texts.select("text_key", "text").mapInArrow(_hashed(shingle, "fingerprints"), "text_key long, fp long, fp2 long").distinct())
@@ -320,7 +321,9 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     masks = [(_signed(x), _signed(y)) for x, y in sampled_masks(nodes.count())]
     shards = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(x)), F.col("fp2").bitwiseAND(F.lit(y))) for k, (x, y) in enumerate(masks)]
     keyed = nodes.select("fp", "fp2", "id", F.explode(F.array(*shards)).alias("shard")).select("shard", "fp", "fp2", "id")
-    links = materialize(_deal(keyed, shard_rows).mapInArrow(_links(radius, both), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    twins = found.join(nodes, ["fp", "fp2"]).where("text_key <> id").select(F.col("text_key").alias("a"), F.col("id").alias("b"))  # equal in all 128 bits
+    links = _deal(keyed, shard_rows).mapInArrow(_links(radius, both), "a long, b long").unionByName(twins)
+    links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = links.select(F.col("a").alias("text_key")).union(links.select("b")).distinct()
     sets = only_keys(texts.select("text_key", "text"), ends, ["text_key"]).groupBy("text_key").agg(F.first("text").alias("text"))
     sets = materialize(sets.mapInArrow(_hashed(shingle, "set"), "text_key long, shingles array<int>"))
@@ -328,7 +331,6 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     pairs = pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size("x").alias("x"), F.size("y").alias("y"))
     judged = materialize(pairs.select("a", "b", (F.col("shared") >= similarity * (F.col("x") + F.col("y") - F.col("shared"))).alias("holds"), ((F.col("shared") == F.col("x")) & (F.col("shared") == F.col("y"))).alias("same")))
     true = judged.where("holds").select("a", "b")
-    twins = found.join(nodes, ["fp", "fp2"]).where("text_key <> id").select(F.col("text_key").alias("a"), F.col("id").alias("b"))  # equal in all 128 bits
     if judged.where("not holds").count():
         parts = materialize(connected_components(links))
         unclear = parts.join(judged.where("not holds").select(F.col("a").alias("node")), "node").select("label").distinct()
@@ -336,7 +338,7 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, r
         members = members.join(judged.where("same").select(F.col("b").alias("text_key")), "text_key", "left_anti")  # its equal stands for it
         members = materialize(members.join(found, "text_key").join(sets, "text_key").select("shard", "fp", "fp2", F.col("text_key").alias("id"), "shingles"))
         true = true.unionByName(_deal(members, shard_rows // 2).mapInArrow(_settled(similarity, both), "a long, b long"))
-    return connected_components(true.unionByName(twins)).select(F.col("node").alias("text_key"), F.col("label").alias("part"))
+    return connected_components(true).select(F.col("node").alias("text_key"), F.col("label").alias("part"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -147,3 +147,12 @@ def test_stage_compares_large_groups_in_chunks(spark):
     texts = spark.createDataFrame(star(300), "text_key long, text string")
     parts = similar_texts(texts, shard_rows=64).collect()
     assert len(parts) == 301 and len({r.part for r in parts}) == 1
+
+
+def test_stage_keeps_texts_that_share_a_repeated_line(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    line = " ".join(word() for _ in range(5))
+    rows = [(i, " ".join([line] * 40 + [word() for _ in range(60)])) for i in range(12)]
+    got = sorted(r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == list(range(12)), len(got)
