@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import BROADCAST_ROWS, materialize, only_keys, sliced
 from kinfold.llm.components import connected_components, forest
 
+#: The 192 bits of a text in the near-duplicate stage.
+PRINTS = ["fp", "fp2", "fp3"]
+
 #: Pairs of (query, tree node) looked at together; bounds the memory of a search.
 FRONTIER = 1 << 20
 
@@ -123,11 +126,12 @@ def _signed(x: int) -> int:
 
 
 def _links(radius: int, both: int | None = None, flush: int = 40_000):
-    """Tasks get rows (shard, side, fp[, fp2, id]) sorted by shard, equal shards together. side 0: in the tree and a
+    """Tasks get rows (shard, side, fp[, fp2, ..., id]) sorted by shard, equal shards together. side 0: in the tree and a
     query; 1: in the tree only; 2: a query only. Links need at most ``radius`` bits of fp to differ and, if ``both`` is
-    given, at most that many of fp and fp2 together; close pairs are linked first. Gives (a, b): fps, or ids."""
+    given, at most that many of all prints together; close pairs are linked first. Gives (a, b): fps, or ids."""
 
     def solve(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, *more: np.ndarray) -> pa.RecordBatch | None:
+        others = [x.view(np.uint64) for x in more[:-1]]
         value = fp.view(np.uint64)
         inside = np.flatnonzero(side < 2)
         asking = np.flatnonzero(side != 1)
@@ -142,13 +146,12 @@ def _links(radius: int, both: int | None = None, flush: int = 40_000):
             for q, item in trees.search(value[asking], tree, radius if most is None else min(radius, most)):
                 left, right = asking[q], inside[item]
                 if most is not None:
-                    second = more[0].view(np.uint64)
-                    near = np.bitwise_count(value[left] ^ value[right]).astype(np.int64) + np.bitwise_count(second[left] ^ second[right]) <= most
+                    near = sum(np.bitwise_count(x[left] ^ x[right]).astype(np.int64) for x in (value, *others)) <= most
                     left, right = left[near], right[near]
                 root, used = forest(len(fp), left, right, root)
                 out.append((left[used], right[used]))
         left, right = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), ())))
-        name = more[1] if both is not None else fp
+        name = more[-1] if both is not None else fp
         return pa.RecordBatch.from_arrays([pa.array(name[left]), pa.array(name[right])], ["a", "b"]) if len(left) else None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +221,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFr
 
 
 def sampled_masks(expected: int, bits_off: int = 27, recall: float = 0.97, seed: int = 42) -> list[tuple[int, int]]:
-    """Masks (of fp, of fp2) of random bit subsets of the 128, large enough to leave some 64 of ``expected`` random
+    """Masks (of fp, of fp2) of random bit subsets of their 128, large enough to leave some 64 of ``expected`` random
     fingerprints in a shard, and so many that ones ``bits_off`` bits apart share a shard with probability ``recall``."""
     size = int(np.clip(np.ceil(np.log2(max(expected, 1) / 64)), 6, 24))
     met = np.prod([(128 - bits_off - i) / (128 - i) for i in range(size)])
@@ -234,6 +237,24 @@ def shingle_set(text: str | None, shingle: int) -> list[int]:
     return sorted({(xxhash.xxh3_64_intdigest(p) >> 32) - (1 << 31) for p in pieces})
 
 
+def set_prints(text: str | None, shingle: int) -> np.ndarray:
+    """192-bit SimHash over a text's distinct word shingles, as its similarity is defined: how often a passage repeats
+    doesn't matter."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line = b" ".join(found)
+    at = list(accumulate(map(len, found), lambda x, n: x + n + 1, initial=0))
+    pieces = {line[a : b - 1] for a, b in zip(at, at[shingle:])} or {line}
+    bits = np.zeros(192, np.int64)
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.uint64).reshape(-1, 2)
+    for k in range(0, len(digests), 4096):
+        part = digests[k : k + 4096]
+        third = (part[:, 0] ^ (part[:, 1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + part[:, 1]
+        third = (third ^ (third >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        part = np.column_stack([part, third ^ (third >> np.uint64(30))])
+        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 24), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > len(digests), bitorder="little").view(np.int64)
+
+
 def _hashed(shingle: int, what: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(parts):
@@ -241,20 +262,20 @@ def _hashed(shingle: int, what: str):
             if what == "set":
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, shingle) for x in text], pa.list_(pa.int32()))], ["text_key", "shingles"])
             else:
-                two = [pa.array(np.fromiter((fingerprint(x, shingle, seed) for x in text), np.uint64, len(text)).view(np.int64)) for seed in (42, 43)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *two], ["text_key", "fp", "fp2"])
+                three = np.array([set_prints(x, shingle) for x in text], np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(three[:, k].copy()) for k in range(3))], ["text_key", *PRINTS])
 
     return run
 
 
 def _settled(similarity: float, both: int):
-    """Tasks get rows (shard, side, fp, fp2, id, shingles) sorted by shard, equal shards together, sides as in ``_links``.
+    """Tasks get rows (shard, side, fp, fp2, fp3, id, shingles) sorted by shard, equal shards together, sides as in ``_links``.
     Gives a spanning forest (a, b) of the pairs within ``both`` bits that the exact similarity confirms. Close pairs come
     first, and a pair that confirmed links already join isn't compared: a group of copies costs a comparison a member."""
 
     def solve(rows: pa.Table, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
         side, ident = rows["side"].to_numpy(), rows["id"].to_numpy()
-        prints = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("fp", "fp2")])
+        prints = np.stack([rows[c].to_numpy().view(np.uint64) for c in PRINTS])
         held = rows["shingles"].combine_chunks()
         size = np.diff(held.offsets.to_numpy()).astype(np.int64)
         begin = np.cumsum(size) - size
@@ -307,21 +328,21 @@ def _settled(similarity: float, both: int):
     return run
 
 
-def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, both: int = 36, shard_rows: int = 4096) -> DataFrame:
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, both: int = 54, shard_rows: int = 4096) -> DataFrame:
     """Groups of texts whose word-shingle sets have a Jaccard similarity of ``similarity`` or more. ``texts`` has
     text_key (equal for equal texts) and text; returns (text_key, part) for texts in groups of more than one key.
 
     Candidates are close SimHash pairs: within ``radius`` bits in BK-trees of shards by random bit subsets, and within
-    ``both`` bits of 128. A spanning forest of them, and each text of equal bits with one of them, is checked on exact
+    ``both`` bits of 192. A spanning forest of them, and each text of equal bits with one of them, is checked on exact
     shingle sets. A forest link that the check
     refutes may have stood for true ones, so all pairs within ``both`` bits of such a group of candidates are compared:
     in one task, or in pairs of chunks if the group is large."""
-    found = materialize(texts.select("text_key", "text").mapInArrow(_hashed(shingle, "fingerprints"), "text_key long, fp long, fp2 long").distinct())
-    nodes = materialize(found.groupBy("fp", "fp2").agg(F.min("text_key").alias("id")))
+    found = materialize(texts.select("text_key", "text").mapInArrow(_hashed(shingle, "fingerprints"), "text_key long, fp long, fp2 long, fp3 long").distinct())
+    nodes = materialize(found.groupBy(*PRINTS).agg(F.min("text_key").alias("id")))
     masks = [(_signed(x), _signed(y)) for x, y in sampled_masks(nodes.count())]
     shards = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(x)), F.col("fp2").bitwiseAND(F.lit(y))) for k, (x, y) in enumerate(masks)]
-    keyed = nodes.select("fp", "fp2", "id", F.explode(F.array(*shards)).alias("shard")).select("shard", "fp", "fp2", "id")
-    twins = found.join(nodes, ["fp", "fp2"]).where("text_key <> id").select(F.col("text_key").alias("a"), F.col("id").alias("b"))  # equal in all 128 bits
+    keyed = nodes.select(*PRINTS, "id", F.explode(F.array(*shards)).alias("shard")).select("shard", *PRINTS, "id")
+    twins = found.join(nodes, PRINTS).where("text_key <> id").select(F.col("text_key").alias("a"), F.col("id").alias("b"))  # equal in all bits
     links = _deal(keyed, shard_rows).mapInArrow(_links(radius, both), "a long, b long").unionByName(twins)
     links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = links.select(F.col("a").alias("text_key")).union(links.select("b")).distinct()
@@ -336,7 +357,7 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, r
         unclear = parts.join(judged.where("not holds").select(F.col("a").alias("node")), "node").select("label").distinct()
         members = parts.join(unclear, "label").select(F.col("label").alias("shard"), F.col("node").alias("text_key"))
         members = members.join(judged.where("same").select(F.col("b").alias("text_key")), "text_key", "left_anti")  # its equal stands for it
-        members = materialize(members.join(found, "text_key").join(sets, "text_key").select("shard", "fp", "fp2", F.col("text_key").alias("id"), "shingles"))
+        members = materialize(members.join(found, "text_key").join(sets, "text_key").select("shard", *PRINTS, F.col("text_key").alias("id"), "shingles"))
         true = true.unionByName(_deal(members, shard_rows // 2).mapInArrow(_settled(similarity, both), "a long, b long"))
     return connected_components(true).select(F.col("node").alias("text_key"), F.col("label").alias("part"))
 

@@ -156,3 +156,15 @@ def test_stage_keeps_texts_that_share_a_repeated_line(spark):
     rows = [(i, " ".join([line] * 40 + [word() for _ in range(60)])) for i in range(12)]
     got = sorted(r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == list(range(12)), len(got)
+
+
+def test_stage_finds_copies_that_differ_in_repeats(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    rows = []
+    for k in range(8):
+        line, rest = [word() for _ in range(5)], [word() for _ in range(60)]
+        rows += [(10 * k, " ".join(line * 40 + rest)), (10 * k + 1, " ".join(line * 2 + rest))]
+        assert shingle_set(rows[-1][1], 5) == shingle_set(rows[-2][1], 5)
+    got = sorted(r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [10 * k for k in range(8)], len(got)
