@@ -2,8 +2,7 @@
 
 A gear rolling hash over the last 16 bytes sets chunk ends, so that ends depend on content alone and fall in step again
 soon after an insertion. Chunks are deduplicated by a 128-bit digest: of the copies the one in the document with the
-smallest id stays. Only runs of repeated chunks of ``min_run`` bytes or more count, so chance repeats of a phrase are
-left alone.
+smallest id stays. Every repeated chunk counts, however short its run.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from kinfold.llm.common import materialize, sliced
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 2024) for b in range(256)], np.uint64)
 #: Six bits that the last 16 bytes decide: an end every 64 bytes on average.
 MASK = np.uint64(0x3F << 10)
-SHORTEST, LONGEST = 24, 512
+SHORTEST, LONGEST = 24, 160
 
 
 def chunk_ends(data: bytes) -> list[int]:
@@ -118,9 +117,9 @@ def _cut(min_run: int):
     return run
 
 
-def chunk_dedup(docs: DataFrame, min_run: int = 100) -> DataFrame:
-    """One row per document of ``docs`` (doc_id, text): doc_id, n_bytes, n_repeated (bytes in runs of chunks that occur
-    elsewhere too), n_removed (those of them that an earlier copy makes redundant), n_spans (maximal removed runs),
+def chunk_dedup(docs: DataFrame, min_run: int = 1) -> DataFrame:
+    """One row per document of ``docs`` (doc_id, text): doc_id, n_bytes, n_repeated (bytes of chunks that occur
+    elsewhere too, in runs of ``min_run`` bytes at least), n_removed (those of them that an earlier copy makes redundant), n_spans (maximal removed runs),
     kept_sha256 of the remaining bytes and kept_text (a character cut in two is left out).
 
     The copy that stays is the first one in the document of smallest doc_id; rows with equal id and text are one

@@ -120,3 +120,16 @@ def test_odd_chunk_rows(spark):
     assert len(got) == 13 and sum(r.n_bytes == 0 and r.n_removed == 0 for r in got) == 4
     assert next(r for r in got if r.doc_id == 2).n_removed > 0 and all(r.n_removed < r.n_bytes for r in got if r.doc_id == 6)
     assert chunk_dedup(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_chunk_dedup_finds_passages_of_50_to_100_words(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for k in range(300):
+        passage = text(51 + k % 50)
+        rows += [(2 * k, f"{text(40)} {passage} {text(40)}"), (2 * k + 1, f"{text(60)} {passage} {text(30)}")]
+    got = {r.doc_id: r.n_removed for r in chunk_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[2 * k + 1] > 0 for k in range(300))
+    assert found >= 290 and not any(got[2 * k] for k in range(300)), found
