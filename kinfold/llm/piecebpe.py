@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import release_memory, sliced
 
 MARK = "▁"  # stands for a space in pieces
-#: Words kept with their ids in each Python worker, twice at most; only speed depends on it.
-CACHE_WORDS = 250_000
+#: Segments of up to CACHE_LETTERS letters kept with their ids in each Python worker, twice at most; speed alone
+#: depends on it.
+CACHE_WORDS, CACHE_LETTERS = 250_000, 64
+#: Letters of a segment that the automaton looks at together.
+SPAN = 4096
 
 
 class PieceBPE:
@@ -50,8 +53,8 @@ class PieceBPE:
         self.listed: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.first_plain = min(plain)
-        self.odd: dict[str, str] = {}
-        self.old_odd: dict[str, str] = {}
+        self.told: dict[str, str] = {}
+        self.old_told: dict[str, str] = {}
         self.known: dict[int, bool] = {}
         # Only pieces that their own text encodes to can be in a result; the automaton holds these.
         self.auto = ahocorasick.Automaton()
@@ -60,6 +63,7 @@ class PieceBPE:
                 self.auto.add_word(p, i)
         self.auto.make_automaton()
         self.length = [len(p) for p in self.pieces]
+        self.longest = max(map(len, self.id_of))
         self.shorter = [-1] * len(self.pieces)  # the longest piece that is a proper beginning of a piece
         for p in self.auto.keys():
             for k in range(len(p) - 1, 0, -1):
@@ -106,24 +110,29 @@ class PieceBPE:
         with nothing."""
         n = len(text)
         known, compatible, shorter, length, auto = self.known, self._compatible, self.shorter, self.length, self.auto
-        failed = 0  # bit i: no way on from position i
+        failed = bytearray((n >> 3) + 1)  # bit i: no way on from position i
         path: list[int] = []
         at, before = 0, -1
         matches = None  # longest matches from here on, as long as they are followed
+        base, view, edge = 0, text[:SPAN], n if n <= SPAN else SPAN - self.longest
         while at < n:
-            matches = matches or auto.iter_long(text, at)
+            if at >= edge or at < base:  # a long segment is looked at part by part; a match ends inside its part
+                base, view, matches = at, text[at : at + SPAN], None
+                edge = n if at + SPAN >= n else at + SPAN - self.longest
+            matches = matches or auto.iter_long(view, at - base)
             last, piece = next(matches, (-1, -1))
             longest = piece
-            if piece < 0 or last + 1 - length[piece] != at:
+            if piece < 0 or base + last + 1 - length[piece] != at:
                 matches = None
-                if not failed >> at + 1 & 1:
+                if not failed[at + 1 >> 3] >> (at + 1 & 7) & 1:
                     path.append(-1)
                     at, before = at + 1, -1
                     continue
                 piece = longest = -1
             while True:
                 while piece >= 0:
-                    if not failed >> at + length[piece] & 1:
+                    end = at + length[piece]
+                    if not failed[end >> 3] >> (end & 7) & 1:
                         if before < 0:
                             break
                         fits = known.get(before << 16 | piece)
@@ -134,7 +143,7 @@ class PieceBPE:
                     break
                 # The failure depends on the piece before; the position is closed for good as an encoding of a
                 # prefix is unique: no other path that can succeed leads here.
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 if not path:
                     return [self.id_of.get(p, -1) for p in self.merge(text)]
                 piece = path.pop()
@@ -152,8 +161,7 @@ class PieceBPE:
     def _encode_segment(self, segment: str) -> tuple[int, ...]:
         """Ids of a segment without a space inside. Pieces of spaces alone share one score, so that the order of their
         merges isn't fixed by neighbours: segments led by several spaces are merged plainly."""
-        long = len(segment) > 1 << 14  # plain merging takes n log n and little memory whatever the segment
-        if long or segment.startswith(MARK * 2):
+        if segment.startswith(MARK * 2):
             found = [self.id_of.get(p, -1) for p in self.merge(segment)]
         else:
             found = self._backtrack(segment)
@@ -171,30 +179,49 @@ class PieceBPE:
         return tuple(out)
 
     def list_ids(self, segment: str) -> str:
-        """Ids of a segment, joined by commas, kept for the next time; notes segments that decode to other text."""
-        out = self.old.get(segment)
+        """Ids of a segment, joined by commas; short ones are kept for the next time."""
+        out = self.listed.get(segment) or self.old.get(segment) or ",".join(map(str, self._encode_segment(segment)))
+        if len(segment) <= CACHE_LETTERS:
+            if len(self.listed) >= CACHE_WORDS:
+                self.turn()
+            self.listed[segment] = out
+        return out
+
+    def tell(self, listed: str) -> str:
+        """The text that the ids of a segment decode to, a leading space included."""
+        out = self.old_told.get(listed)
         if out is None:
-            ids = self._encode_segment(segment)
-            out = ",".join(map(str, ids))
-            if min(ids) < self.first_plain:  # else the ids' pieces are the segment's own letters
-                text = self.decode((self.id_of[MARK], *ids))  # a mark ahead is what decoding drops
-                if text != segment.replace(MARK, " "):
-                    self.odd[segment] = text
-        elif segment in self.old_odd:
-            self.odd[segment] = self.old_odd[segment]
-        self.listed[segment] = out
+            ids = list(map(int, listed.split(",")))
+            if min(ids) >= self.first_plain:
+                out = "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")
+            else:
+                out = self.decode([self.id_of[MARK], *ids])  # a mark ahead is what decoding drops
+        if len(listed) <= 4 * CACHE_LETTERS:
+            self.told[listed] = out
         return out
 
     def forget(self) -> None:
         """Drop the tables of words and neighbours."""
-        self.old, self.old_odd, self.listed, self.odd, self.known = {}, {}, {}, {}, {}
+        self.old, self.old_told, self.listed, self.told, self.known = {}, {}, {}, {}, {}
 
     def turn(self) -> None:
-        """Between documents: a full table becomes the old one, from which words that come again are taken over."""
+        """A full table becomes the old one, from which words that come again are taken over."""
         if len(self.known) >= 2 * CACHE_WORDS:
             self.known.clear()
-        if len(self.listed) >= CACHE_WORDS or len(self.odd) >= CACHE_WORDS // 10:
-            self.old, self.old_odd, self.listed, self.odd = self.listed, self.odd, {}, {}
+        if len(self.listed) >= CACHE_WORDS or len(self.told) >= 2 * CACHE_WORDS:
+            self.old, self.old_told, self.listed, self.told = self.listed, self.told, {}, {}
+
+    def digests(self, text: str | None) -> tuple[int, str, str, str]:
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text that these ids decode to, and the
+        ids joined by commas. Segments begin and end between characters, so their ids decode one by one."""
+        self.turn()
+        known, add = self.listed.get, self.list_ids
+        parts = [known(s) or add(s) for s in self.segments(text or "")]
+        listed = ",".join(parts)
+        told, tell = self.told.get, self.tell
+        decoded = "".join([told(x) or tell(x) for x in parts])
+        decoded = decoded[decoded.startswith(" ") :].encode("utf-8", "surrogatepass")
+        return listed.count(",") + 1 if listed else 0, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), listed
 
     def segments(self, text: str) -> list[str]:
         return self.segment.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -263,19 +290,9 @@ def token_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(model)
         for part in sliced(parts):
-            n, digests, texts, all_ids = [], [], [], []
-            for x in part.column(part.num_columns - 1):
-                bpe.turn()
-                known, add, odd = bpe.listed.get, bpe.list_ids, bpe.odd
-                found = bpe.segments(x.as_py() or "")
-                csv = ",".join([known(s) or add(s) for s in found])
-                n.append(csv.count(",") + 1 if csv else 0)
-                digests.append(hashlib.sha256(csv.encode()).hexdigest())
-                # segments begin and end between characters, so they decode one by one
-                text = "".join([odd.get(s, s) for s in found] if odd else found).replace(MARK, " ")
-                texts.append(hashlib.sha256(text[text.startswith(" ") :].encode("utf-8", "surrogatepass")).hexdigest())
-                if with_ids:
-                    all_ids.append(np.fromstring(csv, np.int32, sep=",") if csv else np.zeros(0, np.int32))
+            found = [bpe.digests(x.as_py()) for x in part.column(part.num_columns - 1)]
+            n, digests, texts = ([f[k] for f in found] for k in range(3))
+            all_ids = [np.fromstring(f[3], np.int32, sep=",") if f[3] else np.zeros(0, np.int32) for f in found] if with_ids else []
             columns = [part.column(k) for k in range(part.num_columns - 1)] + ([pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, all_ids)]), pa.int32()), pa.array(np.concatenate(all_ids)))] if with_ids else [])
             columns += [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -149,6 +149,31 @@ def digests(library, text):
     return len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))
 
 
+@pytest.mark.parametrize("text", ["".join(random.Random(4).choice("thisonedarg中é") for _ in range(70_000)), "x" * 40_000, "ab12" * 15_000 + "é"])
+def test_long_segments_equal_the_library(both, text):
+    assert both[0].encode(text) == both[1].encode(text)
+
+
+def test_digest_of_decoded_text_follows_the_ids(both):
+    mine = PieceBPE(model_path())
+    text = "one wrong id shows"
+    assert mine.digests(text)[:3] == digests(both[1], text)
+    segment = mine.segments(text)[1]
+    mine.listed[segment] = ",".join(str(i + 1) for i in mine._encode_segment(segment))
+    n, ids, decoded, listed = mine.digests(text)
+    assert ids != digests(both[1], text)[1] and decoded == hashlib.sha256(both[1].decode(list(map(int, listed.split(",")))).encode()).hexdigest() != digests(both[1], text)[2]
+
+
+def test_word_tables_are_bounded(both, monkeypatch):
+    import kinfold.llm.piecebpe as pb
+
+    monkeypatch.setattr(pb, "CACHE_WORDS", 50)
+    mine = PieceBPE(model_path())
+    text = " ".join(f"word{i} {'y' * 200}{i}" for i in range(500))
+    assert mine.digests(text)[:3] == digests(both[1], text) and len(mine.listed) + len(mine.old) <= 102
+    assert all(len(s) <= pb.CACHE_LETTERS for s in mine.listed)
+
+
 def test_token_digests(spark, both):
     for docs in (documents(spark, "sf0.01"), odd_docs(spark)):
         got = token_digests(docs, model_path(), with_ids=True).collect()
