@@ -1,8 +1,10 @@
 """Main text of web pages: page structure plus removal of site templates.
 
-Elements outside the article are hashed as subtrees; Spark counts the pages of each host that hold a subtree, and
-those on many pages of a host are deleted. What a page marks as navigation, header, footer, sidebar, notice, advert,
-form, script, style or comments goes in any case; a page's own article text never counts as template.
+A page's text is that of its article, or of its body if it names none, without what it marks as navigation, header,
+footer, sidebar, notice, advert, form, script, style or comments. The block elements of that region are hashed as
+subtrees; Spark counts on how many different articles of its host a subtree stands, and those that recur are deleted.
+Two pages count as one article if the longest stretch of text outside the subtree is equal, and what holds half of a
+text or more is no template: copies of an article, near ones too, keep what they share.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -35,7 +38,7 @@ DROPPED_WORDS = frozenset(
 )
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WHOLE = frozenset("#root html body article main".split())  # never a template
 
 
 class Node:
@@ -117,12 +120,13 @@ def parse(page: str) -> Node:
     return root
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
-    """Hash of each element with text below it, by id(node): from the tag and the hashes and texts of its children."""
+def subtree_hashes(tops: list[Node]) -> dict[int, int]:
+    """Hash of each element below ``tops`` with text, by id(node): from the tag and the hashes and texts of its children;
+    marked elements don't count."""
     found: dict[int, int] = {}
-    order: list[Node] = [root]
+    order: list[Node] = list(tops)
     for node in order:
-        order += [k for k in node.kids if isinstance(k, Node)]
+        order += [k for k in node.kids if isinstance(k, Node) and not k.dropped]
     for node in reversed(order):
         parts = [node.tag]
         for k in node.kids:
@@ -136,8 +140,9 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     return found
 
 
-def articles(root: Node) -> list[Node]:
-    """The outermost article or main elements that aren't marked or inside something marked; else none."""
+def region(root: Node) -> list[Node]:
+    """Where the main text is: the outermost article or main elements that aren't marked or inside something marked; if
+    there is none, the whole page."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -147,32 +152,60 @@ def articles(root: Node) -> list[Node]:
             out.append(node)
             continue
         stack += [k for k in reversed(node.kids) if isinstance(k, Node)]
-    return out
+    return out or [root]
 
 
-def candidates(root: Node) -> set[int]:
-    """Hashes of the elements that may be template: all outside the article."""
-    hashes, out = subtree_hashes(root), set()
-    inside = {id(n) for n in articles(root)}
-    stack = [root]
+def candidates(root: Node) -> tuple[list[int], list[int], int]:
+    """Subtrees that may be template, the unmarked block elements of the region that hold less text than stands outside
+    them: their hashes, and for each the hash of the longest stretch of text outside it; and that of the longest of all."""
+    tops = region(root)
+    hashes = subtree_hashes(tops)
+    runs: list[tuple[int, int]] = []  # length and hash of each stretch between block borders
+    open_text: list[str] = []
+
+    def border() -> None:
+        if text := " ".join("".join(open_text).split()):
+            runs.append((len(text), xxhash.xxh3_64_intdigest(text) >> 1))
+        open_text.clear()
+
+    spans: list[tuple[int, int, int]] = []
+    stack: list = [(n, None) for n in reversed(tops)]
     while stack:
-        node = stack.pop()
-        if id(node) in inside:
-            continue
-        if id(node) in hashes and node.tag not in ("#root", "html", "body"):
-            out.add(hashes[id(node)])
-        stack += [k for k in node.kids if isinstance(k, Node)]
-    return out
+        node, start = stack.pop()
+        if isinstance(node, str):
+            open_text.append(node)
+        elif node.dropped:
+            if node.tag not in UNSEEN:
+                border()
+        elif start is not None:
+            border()
+            if len(runs) > start and node.tag not in WHOLE and id(node) in hashes:
+                spans.append((hashes[id(node)], start, len(runs)))
+        else:
+            if node.tag not in INLINE:
+                border()
+                stack.append((node, len(runs)))
+            stack += [(k, None) for k in reversed(node.kids)]
+    border()
+    none = (0, 0)
+    before, behind = [none], [none]  # the longest stretch before each one, and from each one on
+    for r in runs:
+        before.append(max(before[-1], r))
+    for r in reversed(runs):
+        behind.append(max(behind[-1], r))
+    behind.reverse()
+    size = list(accumulate((n for n, _ in runs), initial=0))
+    spans = [(h, a, b) for h, a, b in spans if 2 * (size[b] - size[a]) < size[-1]]
+    return [h for h, _, _ in spans], [max(before[a], behind[b])[1] for _, a, b in spans], before[-1][1]
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The text of the page without marked elements and ``template`` subtrees: of its article, if it names one (what an
-    article holds is no template, so copies of an article stay whole), else of the whole body."""
+    """The text of the page's region without marked elements and ``template`` subtrees."""
     root = parse(page or "")
-    tops = articles(root)
-    hashes = {} if tops or not template else subtree_hashes(root)  # all that is outside an article goes with the rest
+    tops = region(root)
+    hashes = subtree_hashes(tops) if template else {}
     out: list[str] = []
-    stack: list = list(reversed(tops)) if tops else [root]
+    stack: list = list(reversed(tops))
     while stack:
         node = stack.pop()
         if isinstance(node, str):
@@ -198,21 +231,24 @@ def host_of(url) -> F.Column:
 def extract_pages(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
     """Main text of every row of ``pages`` (page_id, url, html): page_id, url, text and n_chars.
 
-    A subtree outside articles is template if at least ``min_pages`` rows of a host, and ``min_share`` of them, hold
-    it. A null html is empty and gives an empty text; null urls share an unnamed host; repeated rows stay and count;
-    an empty table gives no rows; extra columns are ignored."""
+    A subtree is template if at least ``min_pages`` different articles of a host, and ``min_share`` of them, stand on
+    pages that hold it. A null html is empty and gives an empty text; null urls share an unnamed host; repeated rows stay,
+    and count as one article; an empty table gives no rows; extra columns are ignored."""
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(parts):
-            found = [sorted(candidates(parse(x.as_py() or ""))) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["host", "found"])
+            found = [candidates(parse(x.as_py() or "")) for x in part.column(1)]
+            pairs = [[{"hash": h, "rest": r} for h, r in {*zip(f[0], f[1])}] for f in found]
+            kind = pa.list_(pa.struct([("hash", pa.int64()), ("rest", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pairs, kind), pa.array([f[2] for f in found], pa.int64())], ["host", "found", "longest"])
 
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url").cast("string")).alias("host"))
-    seen = source.select("host", "html").mapInArrow(hashed, "host string, found array<long>")
-    many = seen.select("host", F.explode("found").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    hosts = source.groupBy("host").agg(F.count("*").alias("pages"))
-    common = many.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages"))
-    # a host has no more of these than a page has elements, divided by min_share
+    seen = materialize(source.select("host", "html").mapInArrow(hashed, "host string, found array<struct<hash:long,rest:long>>, longest long"))
+    each = seen.select("host", F.explode("found").alias("x")).select("host", "x.hash", "x.rest").distinct()
+    many = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    hosts = seen.select("host", "longest").distinct().groupBy("host").agg(F.count("*").alias("articles"))
+    common = many.join(hosts, "host").where(F.col("n") >= min_share * F.col("articles"))
+    # a host has no more of these than its pages have elements on average, divided by min_share
     per_host = materialize(common.groupBy("host").agg(F.collect_list("hash").alias("template")))
     size = per_host.agg(F.coalesce(F.sum(F.size("template")), F.lit(0)), F.count("*")).first()
     listed = F.broadcast(per_host) if size[0] + size[1] <= 200_000 else per_host

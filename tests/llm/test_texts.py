@@ -11,7 +11,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinfold.llm.htmltext import extract_pages, main_text, parse
+from kinfold.llm.htmltext import candidates, extract_pages, main_text, parse
 from kinfold.llm.piecebpe import PieceBPE, token_digests
 from kinfold.llm.queries import model_path
 from kinfold.llm.toxicity import Model, drop_toxic, fit, score_documents
@@ -59,8 +59,25 @@ def test_templates_go_by_host(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def test_templates_inside_articles_go_and_copied_articles_stay(spark):
+    """A neutral share block in every article goes; exact and near copies of one article keep what they share, and so
+    does a word in bold that recurs."""
+    share = "<div class='x1'>Tell your friends <b>now</b></div>"
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"https://one.example/{i}", f"<main><p>{words(i)}</p>{share}<p>An <b>odd</b> end {i}</p></main>") for i in range(10)]
+    rows += [(100 + i, f"https://two.example/{i}", f"<article><p>{words(0)}</p><p>short {i}</p><p>same</p></article>") for i in range(10)]
+    rows += [(200 + i, f"https://three.example/{i}", f"<body><div><p>{words(0)}</p></div></body>") for i in range(10)]
+    rows += [(300 + i, f"https://four.example/{i}", f"<article><p>{words(i)}</p>{share if i < 2 else ''}</article>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_pages(df).collect()}
+    assert all(got[i] == f"{words(i)} An odd end {i}" for i in range(10))
+    assert all(got[100 + i] == f"{words(0)} short {i} same" and got[200 + i] == words(0) for i in range(10))
+    assert all(got[300 + i] == words(i) + (" Tell your friends now" if i < 2 else "") for i in range(20))
+
+
 def test_deep_pages_don_t_overflow():
-    assert main_text("<div>" * 30_000 + "deep") == "deep" and parse("<b>" * 5000).kids
+    deep = "<div>" * 30_000 + "deep"
+    assert main_text(deep) == "deep" and parse("<b>" * 5000).kids and candidates(parse(deep))[0] == [] and len(candidates(parse("<p>some more text</p>" + deep))[0]) == 30_000
 
 
 # ---- toxicity ----------------------------------------------------------------------------------------------------
