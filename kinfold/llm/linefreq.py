@@ -83,30 +83,31 @@ def normal_lines(text: Column) -> Column:
     return F.transform(tidy, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.regexp_count(x, F.lit(" ")) + 1).cast("long").alias("n")))
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 50, max_share: float = 0.05, keep_share: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = 5, growth: float = 1.0, keep_share: float = 0.5) -> DataFrame:
     """Rules over ``docs`` (doc_id, text, source; the source is the host): one row per document with doc_id, the counts
     of :func:`text_counts`, n_removed_words, base_failed and kept.
 
-    A line is removed from a host's documents if more than ``min_docs`` rows of the host hold it and they are more
-    than ``max_share`` of the host's rows; a document that keeps less than ``keep_share`` of its words is rejected.
-    A null text has no words and fails; a null host is a host of its own; every row counts as a document, repeated
-    rows and equal or missing ids too; an empty table gives no rows; extra columns are ignored."""
+    A line is removed from a host's documents if more rows of the host hold it than ``min_docs`` and than ``growth``
+    times the square root of the host's rows: a share that falls as hosts grow. A document that keeps less than
+    ``keep_share`` of its words is rejected. A null text has no words and fails; a null host is a host of its own; every
+    row counts as a document, repeated rows and equal or missing ids too; an empty table gives no rows; extra columns are
+    ignored."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("\x00none")).alias("host"))
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "host", F.coalesce("text", F.lit("")))
+    whole = (F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.col("host"), F.coalesce("text", F.lit("")))
+    keys = [F.xxhash64(*whole).alias("k1"), F.xxhash64(F.lit(1), *whole).alias("k2")]
     lines = base.select("host", F.explode(F.array_distinct(F.transform(normal_lines(F.col("text")), lambda x: x["line"]))).alias("line"))
     seen = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
     hosts = base.groupBy("host").agg(F.count("*").alias("host_docs"))
-    common = materialize(seen.join(hosts, "host").where(F.col("docs") > max_share * F.col("host_docs")).select("host", "line"))
-    # At most 1 / max_share lines of mean length a document can be this common: checked, and small for any corpus.
+    common = materialize(seen.join(hosts, "host").where(F.col("docs") > growth * F.sqrt("host_docs")).select("host", "line"))
     n_common = common.count()
     listed = F.broadcast(common) if n_common <= 100_000 else common
-    spots = base.select("host", key.alias("key"), F.posexplode(normal_lines(F.col("text"))).alias("pos", "x")).select("host", "key", "pos", "x.line", "x.n")
+    spots = base.select("host", *keys, F.posexplode(normal_lines(F.col("text"))).alias("pos", "x")).select("host", "k1", "k2", "pos", "x.line", "x.n")
     # a set, as repeated rows share a key: each line of a text counts once
-    lost = spots.join(listed, ["host", "line"]).groupBy("key").agg(F.collect_set(F.struct("pos", "n")).alias("lost"))
-    lost = lost.select("key", F.aggregate("lost", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n_removed_words"))
+    lost = spots.join(listed, ["host", "line"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "n")).alias("lost"))
+    lost = lost.select("k1", "k2", F.aggregate("lost", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n_removed_words"))
     if n_common:
-        rows = text_counts(base).withColumn("key", key).drop("text", "host")
-        out = rows.join(lost, "key", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+        rows = text_counts(base).select("*", *keys).drop("text", "host")
+        out = rows.join(lost, ["k1", "k2"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     else:  # no line is common: nothing to look up
         out = text_counts(base).withColumn("n_removed_words", F.lit(0).cast("long"))
     enough = (F.col("n_words") - F.col("n_removed_words")) >= keep_share * F.col("n_words")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 SP = r"\x20\x09-\x0D"
 
-QUALITY = rf"""
+
+
+def quality(min_docs: int = 5, growth: float = 1.0, keep_share: float = 0.5) -> str:
+    return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, 'none|') AS host FROM documents),
 w AS (SELECT rid, list_filter(regexp_split_to_array(t, '[{SP}]+'), lambda x: x <> '') AS w FROM d),
 win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
@@ -13,13 +16,13 @@ cov AS (SELECT rid, count(DISTINCT i + o) AS n FROM dup CROSS JOIN (VALUES (0),
 ls AS (SELECT rid, host, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SP}]')) AS l FROM d),
 ln AS (SELECT rid, host, trim(regexp_replace(lower(x), '[{SP}]+', ' ', 'g')) AS line FROM (SELECT rid, host, unnest(l) AS x FROM ls)),
 seen AS (SELECT host, line, count(DISTINCT rid) AS n FROM ln GROUP BY host, line),
-common AS (SELECT s.host, s.line FROM seen s JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) h ON s.host = h.host WHERE s.n > 50 AND s.n > 0.05 * h.n),
+common AS (SELECT s.host, s.line FROM seen s JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) h ON s.host = h.host WHERE s.n > {min_docs} AND s.n > {growth} * sqrt(h.n)),
 lost AS (SELECT rid, sum(length(line) - length(replace(line, ' ', '')) + 1) AS n FROM ln JOIN common USING (host, line) GROUP BY rid),
 c AS (SELECT d.rid, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
       len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed_words
       FROM d JOIN w USING (rid) JOIN ls USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN lost USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.5 * n_words AS kept FROM c
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= {keep_share} * n_words AS kept FROM c
 """
 
 EMBEDDINGS = """

@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": oracles.QUALITY, "op4_inverted_multi_index": oracles.EMBEDDINGS}
+    return {"op2_quality_rules": oracles.quality(), "op4_inverted_multi_index": oracles.EMBEDDINGS}

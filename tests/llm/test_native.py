@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from kinfold.llm import oracles
 from kinfold.llm.linefreq import quality_rules
 from kinfold.llm.sharding import minimax_cuts, shard_documents
 
@@ -54,8 +55,20 @@ def test_common_lines_go_per_host(spark):
     assert twice == {(i, g[1]) for i, g in got.items()}
 
 
+def test_rejections_equal_sql(spark):
+    """At limits where many documents lose most of their words."""
+    import duckdb
+
+    duckdb.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = duckdb.sql(oracles.quality(1, 0.0, 0.95)).df()
+    rows = quality_rules(documents(spark, "sf0.01"), 1, 0.0, 0.95).toPandas()[list(want.columns)]
+    order = lambda d: sorted(map(tuple, d.itertuples(index=False)))
+    assert order(rows) == order(want)
+    assert 50 < (~rows.kept & ~rows.base_failed).sum() < 500 and (rows.n_removed_words > 0).sum() > 100
+
+
 def test_odd_rows(spark):
-    got = quality_rules(odd_docs(spark), min_docs=1, max_share=0.1).collect()
+    got = quality_rules(odd_docs(spark), min_docs=1, growth=0.5).collect()
     assert len(got) == 13 and all(r.base_failed and not r.kept for r in got if r.n_words == 0)
     assert quality_rules(odd_docs(spark).limit(0)).count() == 0
     assert {outcome(r) for r in got} == {base(r.text) for r in odd_docs(spark).collect()}
