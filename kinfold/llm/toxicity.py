@@ -1,7 +1,9 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled documents is learned from (``max_examples``). Terms that the toxic ones hold far more
-often form the vocabulary; examples with equal vectors are one entry. The index keeps postings by term, cut into
+A bounded sample of labelled documents is learned from (``max_examples``). A term weighs tf times idf, counted over all
+documents, times its evidence: the lower end of the interval for the log ratio of its shares in toxic and clean examples,
+0 if chance explains the ratio. Every term with evidence is in the vectors; without that factor a few telling words are
+lost among hundreds of rarer ones. Examples with equal vectors are one entry. The index keeps postings by term, cut into
 blocks of entries with the largest weight of each term in each block; a query visits blocks by falling upper bound and
 stops when no block can hold a nearer entry, so the nearest ones are exact. They vote with weights by distance, and the
 votes are calibrated by isotonic regression over leave-one-out votes of the sample. The model's size is bounded by its
@@ -14,7 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log, sqrt
+from math import sqrt
 
 import ahocorasick
 import numpy as np
@@ -51,12 +53,35 @@ def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts", "least"])
 
 
+class Words:
+    """Finds the terms of a vocabulary in texts."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.auto = ahocorasick.Automaton()
+        for i, t in enumerate(vocabulary):
+            self.auto.add_word(t, (i, len(t)))
+        self.auto.make_automaton()
+        self.any = bool(vocabulary)
+
+    def vector(self, text: str | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Known terms of a whole text, as whole words of its lower case, and their counts."""
+        low, count = (text or "").lower(), Counter()
+        inner = lambda c: c.isalnum() or c == "_"
+        if self.any:
+            for last, (i, n) in self.auto.iter(low):
+                at = last + 1 - n
+                if not (at and inner(low[at - 1])) and not (last + 1 < len(low) and inner(low[last + 1])):
+                    count[i] += 1
+        pairs = sorted(count.items())
+        return tuple(i for i, _ in pairs), tuple(c for _, c in pairs)
+
+
 @dataclass
 class Model:
     """The fitted index; ``score`` is deterministic and keeps no state but a cache."""
 
     vocabulary: list[str]
-    idf: np.ndarray
+    idf: np.ndarray  # times the evidence
     entries: list[tuple[tuple[int, ...], tuple[int, ...]]]  # distinct vectors: term numbers, counts
     votes: np.ndarray  # per entry: toxic, clean examples
     example: np.ndarray  # per entry: smallest doc_id
@@ -78,27 +103,14 @@ class Model:
         for t, (ids, w) in enumerate(zip(self.ids, self.w)):
             np.maximum.at(self.block_max[t], ids // BLOCK, w)
         self.cuts = [np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK) for ids in self.ids]
-
-        self.auto = ahocorasick.Automaton()
-        for i, t in enumerate(self.vocabulary):
-            self.auto.add_word(t, (i, len(t)))
-        self.auto.make_automaton()
+        self.words = Words(self.vocabulary)
 
     def state(self) -> tuple:
         """What a worker needs to build the model again."""
         return self.vocabulary, self.idf, self.entries, self.votes, self.example, self.prior, self.k, self.steps
 
     def vector(self, text: str | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Known terms of a whole text, as whole words of its lower case, and their counts."""
-        low, count = (text or "").lower(), Counter()
-        inner = lambda c: c.isalnum() or c == "_"
-        if self.vocabulary:
-            for last, (i, n) in self.auto.iter(low):
-                at = last + 1 - n
-                if not (at and inner(low[at - 1])) and not (last + 1 < len(low) and inner(low[last + 1])):
-                    count[i] += 1
-        pairs = sorted(count.items())
-        return tuple(i for i, _ in pairs), tuple(c for _, c in pairs)
+        return self.words.vector(text)
 
     def weights(self, terms: tuple[int, ...], counts: tuple[int, ...]) -> np.ndarray:
         w = (1 + np.log(np.array(counts, float))) * self.idf[list(terms)]
@@ -167,24 +179,54 @@ class Model:
         return got
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_terms: int = 512, seed: int = 42) -> Model:
-    """Learn from at most ``max_examples`` labelled documents (smallest hash of the id) that aren't held out. Near
-    copies, found by min-hashes, count once where terms are chosen. What reaches the driver is bounded by the two
-    parameters. Labels that are null or neither 0 nor 1, and ids without a document, are left out; no labels give a
-    model that calls nothing toxic."""
+def _without_copies(rows: list[tuple[int, int, tuple[int, ...]]]) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of the rows (doc_id, toxic, min-hashes) that don't share two or more min-hashes with an earlier one."""
+    holders: dict[tuple[int, int], list[int]] = {}
+    kept = []
+    for at, (doc_id, toxic, least) in enumerate(rows):
+        marks = list(enumerate(least))
+        met = Counter(x for m in marks for x in holders.get(m, ()))
+        if not met or max(met.values()) < 2:
+            kept.append((doc_id, toxic))
+            for m in marks:  # a copy adds nothing: its first row stands for it
+                holders.setdefault(m, []).append(at)
+    return kept
+
+
+def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
+    """How many of all documents hold each term, and how many documents there are. Every task counts its own; what
+    meets is one number for each term and task."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n, total = Words(shared.value), np.zeros(len(shared.value), np.int64), 0
+        for part in sliced(parts):
+            for x in part.column(0):
+                n[list(words.vector(x.as_py())[0])] += 1
+            total += part.num_rows
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(n[held], total))], ["term", "n"])
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = np.zeros(len(vocabulary) + 1, np.int64)  # the last one is the number of documents
+    for r in counted.collect():
+        found[r["term"]] = r["n"]
+    return found[:-1], int(found[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, chance: float = 2.6, seed: int = 42) -> Model:
+    """Learn from at most ``max_examples`` labelled documents (smallest hash of the id) that aren't held out, one text for
+    each id. A term's evidence is its log ratio less ``chance`` standard errors, counted without near copies (two or more
+    of six min-hashes equal). A term with evidence is in several examples, so what reaches the driver is bounded by the
+    sample. Labels that are null or neither 0 nor 1, and ids without a document, are left out; no labels give a model that
+    calls nothing toxic."""
     usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_examples)
     chosen = materialize(chosen)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "toxic", "text")
     sample = materialize(texts.mapInArrow(_features, "doc_id long, toxic int, terms array<string>, counts array<long>, least array<long>"))
-    rows = sorted((r[0], r[1], tuple(r[2])) for r in sample.select("doc_id", "toxic", "least").collect())
-    seen: set[tuple[int, int]] = set()
-    kept = []
-    for doc_id, toxic, least in rows:
-        marks = set(enumerate(least))
-        if not marks & seen:
-            kept.append((doc_id, toxic))
-        seen |= marks
+    kept = _without_copies(sorted((r[0], r[1], tuple(r[2])) for r in sample.select("doc_id", "toxic", "least").collect()))
     n1 = sum(t for _, t in kept)
     n0 = len(kept) - n1
     spark = docs.sparkSession
@@ -192,16 +234,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_term
     counted = sample.join(F.broadcast(only), "doc_id").select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
     ratio = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
-    sure = ratio - 2.6 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))  # lower end of the log ratio, well beyond chance
-    best = counted.where(F.col("a") >= 5).withColumn("sure", sure).where(F.col("sure") > log(2)).orderBy(F.desc("sure"), "term").limit(max_terms)
-    vocabulary = sorted((r["term"], r["n"]) for r in best.collect())
-    number = {t: i for i, (t, _) in enumerate(vocabulary)}
-    idf = np.array([log((1 + len(kept)) / (1 + n)) + 1 for _, n in vocabulary])
-    wanted = F.array(*[F.lit(t) for t in number]).cast("array<string>")
-    pairs = F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(wanted, x["terms"]))
+    evidence = ratio - chance * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    known = sorted((r["term"], r["evidence"]) for r in counted.withColumn("evidence", evidence).where("evidence > 0").select("term", "evidence").collect())
+    vocabulary = [t for t, _ in known]
+    number = {t: i for i, t in enumerate(vocabulary)}
+    df, total = document_counts(docs, vocabulary)
+    idf = (np.log((1 + total) / (1 + df)) + 1) * np.array([e for _, e in known], float)
+    wanted = spark.createDataFrame([(t,) for t in vocabulary], "term string")
+    pairs = sample.select("doc_id", "toxic", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("doc_id", "toxic", F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    held = pairs.join(F.broadcast(wanted), "term").groupBy("doc_id").agg(F.collect_list(F.struct("term", "n")).alias("p"))
     groups: dict[tuple, list] = {}
     blank = [0, 0]
-    for doc_id, toxic, found in sorted((r[0], r[1], r[2]) for r in sample.select("doc_id", "toxic", pairs.alias("p")).collect()):
+    for doc_id, toxic, found in sorted((r[0], r[1], r[2]) for r in sample.select("doc_id", "toxic").join(held, "doc_id", "left").select("doc_id", "toxic", F.coalesce("p", F.array().cast("array<struct<term:string,n:bigint>>"))).collect()):
         if not found:
             blank[1 - toxic] += 1
             continue
@@ -210,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, max_term
         entry[1 - toxic] += 1
     order = sorted(groups)  # entries with the same leading terms stand together, which sharpens block maxima
     votes = np.array([groups[g][:2] for g in order], float).reshape(-1, 2)
-    model = Model([t for t, _ in vocabulary], idf, order, votes, np.array([groups[g][2] for g in order], np.int64), (blank[0] + 0.5) / (sum(blank) + 2))
+    model = Model(vocabulary, idf, order, votes, np.array([groups[g][2] for g in order], np.int64), (blank[0] + 0.5) / (sum(blank) + 2))
     model.calibrate()
     return model
 

@@ -5,6 +5,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 import sentencepiece
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from kinfold.llm.htmltext import candidates, extract_pages, main_text, parse
 from kinfold.llm.piecebpe import PieceBPE, token_digests
 from kinfold.llm.queries import model_path
-from kinfold.llm.toxicity import Model, drop_toxic, fit, score_documents
+from kinfold.llm.toxicity import Model, _without_copies, document_counts, drop_toxic, fit, score_documents
 
 from .helpers import documents, odd_docs
 
@@ -111,6 +112,39 @@ def test_nearest_examples_equal_brute_force():
         assert [s for s, _ in m.nearest(terms, counts)] == pytest.approx(want)
 
 
+def test_neighbours_of_documents_equal_brute_force(spark):
+    """Cosines over dense vectors, idf over all documents, against the index for every document of a table."""
+    import numpy as np
+
+    docs, labels = documents(spark, "sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    m = fit(docs, labels)
+    texts = [r.text for r in docs.collect()]
+    assert m.vocabulary and len(set(m.vocabulary)) == len(m.vocabulary)
+    df, n = document_counts(docs, m.vocabulary)
+    sets = [set(re.findall(r"\w+", t.lower())) for t in texts]
+    assert n == len(texts) and df.tolist() == [sum(v in s for s in sets) for v in m.vocabulary]
+    dense = np.zeros((len(m.entries), len(m.vocabulary)))
+    for i, (terms, counts) in enumerate(m.entries):
+        dense[i, list(terms)] = m.weights(terms, counts)
+    for t in texts:
+        found = Counter(w for w in re.findall(r"\w+", t.lower()) if w in set(m.vocabulary))
+        terms, counts = m.vector(t)
+        assert {m.vocabulary[i]: c for i, c in zip(terms, counts)} == found
+        if terms:
+            q = np.zeros(len(m.vocabulary))
+            q[list(terms)] = m.weights(terms, counts)
+            want = np.sort((dense @ q)[dense @ q > 0])[::-1][: m.k]
+            assert [s for s, _ in m.nearest(terms, counts)] == pytest.approx(want.tolist())
+
+
+def test_near_copies_and_repeated_ids_count_once(spark):
+    assert _without_copies([(1, 1, (1, 2, 3)), (2, 0, (1, 9, 8)), (3, 1, (1, 2, 7)), (4, 1, (5, 6, 7))]) == [(1, 1), (2, 0), (4, 1)]
+    docs = spark.createDataFrame([(i // 3, f"foul word number {i}" if i % 2 else "a kind word") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    m = fit(docs, labels)
+    assert 0 <= sum(m.votes.ravel()) <= sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200))
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark):
     docs = spark.createDataFrame([(i, "foul words here" if i % 2 else "kind words here") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0, (i % 2) ^ (zlib.crc32(str(i).encode()) % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
