@@ -1,7 +1,8 @@
-"""Text to lower-case ASCII, with Indic scripts romanised.
+"""Text to lower-case ASCII, with Indic scripts romanised and letters of other scripts spelled by sound.
 
-The nine scripts share the layout of one code page, so that one table of offsets serves all blocks; what differs is
-kept per script. Everything here works on Unicode, for which Spark SQL has no functions, hence the Arrow UDF.
+The nine Indic scripts share the layout of one code page, so that one table of offsets serves all blocks; what differs is
+kept per script. Cyrillic and Greek have tables; other letters go by their Unicode names, ideographs by their code, so
+that no letter ever vanishes and different names don't meet as blanks. Everything here works on Unicode, for which Spark SQL has no functions, hence the Arrow UDF.
 """
 
 from __future__ import annotations
@@ -29,6 +30,38 @@ OTHER = {0x01: "m", 0x02: "m", 0x03: "h", 0x4E: "t", 0x50: "om", 0x60: "r", 0x61
 ASCII_FOLDS = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ß": "ss", "ẞ": "SS", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L", "ı": "i", "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": ",,", "–": "-", "—": "--", "…": "...", "•": "*", "«": "<<", "»": ">>", "№": "No", "©": "(c)", "®": "(r)", "€": "EUR", "£": "PS", "×": "x", "·": "*", "´": "'", "ŋ": "ng"}
 
 
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґўђјљњћџ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia io i yi ie g u dj j lj nj c dz".split()))
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split()))
+#: Sounds of two or more letters that the names of letters begin with.
+DIGRAPHS = ("tch", "zh", "sh", "ch", "kh", "gh", "th", "ph", "ts", "dz", "dj", "ny", "ng")
+
+
+@lru_cache(maxsize=100_000)
+def letter(c: str) -> str:
+    """ASCII spelling of a character that isn't ASCII; marks and symbols give nothing, spaces and punctuation a space."""
+    low = c.lower()
+    if low in CYRILLIC or low in GREEK:
+        return CYRILLIC.get(low) or GREEK[low]
+    kind, name = unicodedata.category(c), unicodedata.name(c, "")
+    if name.startswith("HANGUL SYLLABLE "):
+        return name.rsplit(" ", 1)[1].lower()
+    parts = unicodedata.normalize("NFKD", c)
+    if parts != c:
+        return "".join(x if x.isascii() else letter(x) for x in parts)
+    if kind[0] in "ZP":
+        return " "
+    if kind == "Nd":
+        return str(unicodedata.digit(c))
+    if kind[0] != "L":
+        return ""
+    if " LETTER " not in f" {name} " or "IDEOGRAPH" in name:
+        return f"u{ord(c):x} "  # a word of its own
+    sound = re.sub("^(?:SMALL|CAPITAL|FINAL|MODIFIER|LETTER) ", "", name.split(" LETTER ", 1)[1].split(" WITH ")[0]).replace("SMALL ", "").lower()
+    if "KATAKANA" in name or "HIRAGANA" in name:
+        return re.sub("[^a-z]", "", sound) or f"u{ord(c):x}"
+    return next((d for d in DIGRAPHS if sound.startswith(d)), re.sub("[^a-z]", "", sound)[:1]) or f"u{ord(c):x}"
+
+
 def romanise(run: str) -> str:
     """Latin spelling of a run of Indic letters; the run's first letter names the script."""
     script = (ord(run[0]) - 0x0900) >> 7
@@ -80,8 +113,7 @@ def ascii_lower(text: str | None) -> tuple[str, bool]:
     indic = INDIC.search(text) is not None
     if indic:
         text = INDIC.sub(lambda m: _romanise(m[0]), text)
-    text = "".join(ASCII_FOLDS.get(c, c) for c in text)
-    text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+    text = "".join(c if c.isascii() else ASCII_FOLDS[c] if c in ASCII_FOLDS else letter(c) for c in text)
     return text.lower(), indic
 
 

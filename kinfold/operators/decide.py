@@ -34,9 +34,9 @@ def stress_copy(scored: DataFrame, scores: Sequence[str], copies: int = 2) -> Da
 
 
 def add_extra_scores(pairs: DataFrame, extra: Sequence[DataFrame], column: str = "p_ce") -> DataFrame:
-    """Scores of other models as ce0, ce1, ...; missing ones stay null."""
+    """Scores of other models as ce0, ce1, ...; missing ones stay null, and of repeated pairs the largest counts."""
     for i, e in enumerate(extra):
-        one = e.groupBy("s1_id", "cand_id").agg(F.first(column).alias(f"ce{i}"))
+        one = e.groupBy("s1_id", "cand_id").agg(F.max(column).alias(f"ce{i}"))
         pairs = pairs.join(one, ["s1_id", "cand_id"], "left")
     return pairs
 

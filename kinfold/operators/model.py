@@ -11,11 +11,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators.features import group_features, stack_features
 from kinfold.operators.sampling import group_fold
+from kinfold.sources.storage import materialize
+from kinfold.sources.tables import read_json, write_json
 
 GROUP_COLUMNS = ["g_rank_in_s1", "g_gap_to_best_s1", "g_n_cands_s1", "g_n_above_05_s1", "g_gap_to_best_same_src"]
 
@@ -77,27 +79,33 @@ class Matcher:
         values = self.second.stages[-1].featureImportances.toArray()
         return sorted(zip(names, values.tolist()), key=lambda x: (-x[1], x[0]))
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, spark: SparkSession, threshold: float | None = None) -> None:
+        """The models and, as JSON, the feature list, number of folds and decision threshold."""
         for k, m in enumerate(self.first):
             m.write().overwrite().save(f"{path}/first_{k}")
         self.second.write().overwrite().save(f"{path}/second")
+        write_json(spark, {"columns": self.columns, "folds": len(self.first), "threshold": threshold}, f"{path}/config.json")
 
     @staticmethod
-    def load(path: str, folds: int, columns: Sequence[str]) -> "Matcher":
-        return Matcher([PipelineModel.load(f"{path}/first_{k}") for k in range(folds)], PipelineModel.load(f"{path}/second"), list(columns))
+    def load(path: str, spark: SparkSession) -> tuple["Matcher", float | None]:
+        """The saved matcher and its threshold."""
+        config = read_json(spark, f"{path}/config.json")
+        first = [PipelineModel.load(f"{path}/first_{k}") for k in range(config["folds"])]
+        return Matcher(first, PipelineModel.load(f"{path}/second"), config["columns"]), config["threshold"]
 
 
 def train_matcher(df: DataFrame, columns: Sequence[str], folds: int = 3, p: Boosting = Boosting()) -> Matcher:
     """``df`` has s1_id, cand_id, cand_source, label and the feature ``columns``. First-stage scores of training rows come
     from the model that didn't see their query."""
-    df = filled(df, columns).withColumn("kf_fold", group_fold(F.col("s1_id"), folds))
+    keep = ["s1_id", "cand_id", "cand_source", "label", *columns]
+    df = materialize(filled(df, columns).select(*dict.fromkeys(keep)).withColumn("kf_fold", group_fold(F.col("s1_id"), folds)))  # every fit reads it again
     first, scored = [], None
     for k in range(folds):
         m = _fit(df.where(F.col("kf_fold") != k), columns, p)
         part = _score(m, df.where(F.col("kf_fold") == k), "p1")
         scored = part if scored is None else scored.unionByName(part)
         first.append(m)
-    staged = filled(group_features(scored, "p1"), GROUP_COLUMNS)
+    staged = materialize(filled(group_features(scored, "p1"), GROUP_COLUMNS))
     return Matcher(first, _fit(staged, [*columns, "p1", *GROUP_COLUMNS], p), list(columns))
 
 
@@ -106,7 +114,7 @@ STACK_COLUMNS = ["p_lgbm", "p_ce", "prod", "diff", "absdiff", "cand_is_s3", *[f"
 
 def stack_out_of_fold(df: DataFrame, folds: int = 5, p: Boosting = Boosting(rounds=30, depth=5, min_rows=200)) -> tuple[DataFrame, PipelineModel]:
     """``df`` (s1_id, cand_id, label, p_lgbm, p_ce) plus out-of-fold p_stack, and the model fitted on all of it."""
-    x = filled(stack_features(df), STACK_COLUMNS).withColumn("kf_fold", group_fold(F.col("s1_id"), folds))
+    x = materialize(filled(stack_features(df), STACK_COLUMNS).withColumn("kf_fold", group_fold(F.col("s1_id"), folds)))
     out = None
     for k in range(folds):
         part = _score(_fit(x.where(F.col("kf_fold") != k), STACK_COLUMNS, p), x.where(F.col("kf_fold") == k), "p_stack")

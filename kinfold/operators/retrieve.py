@@ -1,18 +1,28 @@
-"""Candidate retrieval: blocked TF-IDF top-k as an inverted-index join.
-
-A field's postings (entity, term, weight) come from the pool's statistics of its whole country and source. Scores are
-sums over equal terms, per query and pool entity, combined before the shuffle; the k best per query come from a ranking
-window that Spark prunes early. Blocks are equi-join keys, never a theta join.
+"""Candidate retrieval: blocked TF-IDF top-k over inverted indexes of bounded size.
+
+A field's postings (entity, term, weight) come from the pool's statistics of its whole country and source, in DataFrame
+operations. Records then travel as sparse vectors, one row each, to the cells they search or stand in; a cell with many
+records is cut into chunks, and a task indexes one chunk of the pool and scores one chunk of queries against it. A term
+that nearly all records share costs a few array operations there, where a join on terms would emit a row for every pair.
+Each task returns the k best of every query; a ranking window, which Spark prunes early, merges them. Blocks are equal
+keys, never a theta join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.sources.storage import materialize
+
+#: Pool records and queries that meet in a task, and products of weights held at once; they bound its memory.
+POOL_ROWS, QUERY_ROWS, PRODUCTS = 16_384, 8_192, 1 << 22
+
 
 @dataclass(frozen=True)
 class Field:
@@ -85,27 +95,132 @@ def block_keys(records: DataFrame, neighbors: DataFrame | None, query: bool) ->
     return own.unionByName(near).distinct()
 
 
+def _vectors(postings_of: list[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """(keys, entity_id, terms, ws): a sparse vector for each record over the terms of all fields, which are hashed."""
+    each = None
+    for k, p in enumerate(postings_of):
+        one = p.select(*keys, "entity_id", F.struct(F.xxhash64(F.lit(k), "term").alias("t"), "w").alias("x"))
+        each = one if each is None else each.unionByName(one)
+    held = each.groupBy(*keys, "entity_id").agg(F.collect_list("x").alias("x"))  # no more than a record has terms
+    return held.select(*keys, "entity_id", F.col("x.t").alias("terms"), F.col("x.w").alias("ws"))
+
+
+def _best(k: int, digits: int):
+    """Tasks get rows (cell, pc, qc, is_query, s1_id, cand_id, terms, ws), sorted by the first three; the k best pool records of
+    each query by rounded score, ties by id: (cell, s1_id, cand_id, score)."""
+
+    def flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        held = rows["terms"].combine_chunks()
+        size = np.diff(held.offsets.to_numpy())
+        return np.repeat(np.arange(len(size)), size), held.flatten().to_numpy(), rows["ws"].combine_chunks().flatten().to_numpy()
+
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        asks = rows["is_query"].to_numpy()
+        pool, queries = rows.filter(pa.array(~asks)), rows.filter(pa.array(asks))
+        n = pool.num_rows
+        if not n or not queries.num_rows:
+            return
+        names = np.array(pool["cand_id"].to_pylist(), object)
+        order = np.argsort(names, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)  # pool records are numbered by id, so that ties need no names
+        row, term, w = flat(pool)
+        by_term = np.argsort(term, kind="stable")
+        posting, weight = place[row][by_term], w[by_term]
+        known, begin, df = np.unique(term[by_term], return_index=True, return_counts=True)
+        q_row, q_term, q_w = flat(queries)
+        at = np.minimum(np.searchsorted(known, q_term), len(known) - 1)
+        met = known[at] == q_term
+        q_row, at, q_w = q_row[met], at[met], q_w[met]
+        total = np.cumsum(df[at])
+        ids = np.array(queries["s1_id"].to_pylist(), object)
+        cell = rows["cell"][0].as_py()
+        lo = 0
+        while lo < queries.num_rows:
+            first = np.searchsorted(q_row, lo)
+            done = total[first - 1] if first else 0
+            # queries whose products, and whose rows of scores, fit
+            stop = int(np.searchsorted(total, done + PRODUCTS, "right"))
+            hi = int(q_row[stop]) if stop < len(q_row) else queries.num_rows
+            hi = min(max(hi, lo + 1), lo + max(1, PRODUCTS // n), queries.num_rows)
+            last = np.searchsorted(q_row, hi)
+            a, size = at[first:last], df[at[first:last]]
+            spot = np.repeat(begin[a] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            cells = np.repeat((q_row[first:last] - lo) * n, size) + posting[spot]
+            score = np.bincount(cells, np.repeat(q_w[first:last], size) * weight[spot], (hi - lo) * n).reshape(hi - lo, n).round(digits)
+            if n > k:
+                floor = np.partition(score, n - k, axis=1)[:, n - k]
+                q, p = np.nonzero((score >= floor[:, None]) & (score > 0))
+            else:
+                q, p = np.nonzero(score > 0)
+            s = score[q, p]
+            rank = np.lexsort((p, -s, q))
+            q, p, s = q[rank], p[rank], s[rank]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            q, p, s = q[keep], p[keep], s[keep]
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(q), pa.string()), pa.array(ids[lo + q], rows.schema.field("s1_id").type), pa.array(names[order][p], rows.schema.field("cand_id").type), pa.array(s)], ["cell", "s1_id", "cand_id", "score"])
+            lo = hi
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for part in parts:
+            task = list(zip(*(part.column(c).to_pylist() for c in range(3))))
+            lo = 0
+            while lo < len(task):
+                hi = lo
+                while hi < len(task) and task[hi] == task[lo]:
+                    hi += 1
+                if held and task[lo] != last:
+                    yield from solve(pa.Table.from_batches(held))
+                    held = []
+                held.append(part.slice(lo, hi - lo))
+                last, lo = task[lo], hi
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    return run
+
+
+def _tasks(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """Rows (cell, pc, qc, is_query, s1_id, cand_id, terms, ws) of ``queries`` and ``pool`` (cell, entity_id, terms, ws): every
+    chunk of a cell's queries with every chunk of its pool, equal tasks together and sorted."""
+    chunks = lambda df, n, name: df.groupBy("cell").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    cells = chunks(queries, QUERY_ROWS, "qn").join(chunks(pool, POOL_ROWS, "pn"), "cell")  # a cell of one side has no pairs
+    draw = lambda n: F.pmod(F.xxhash64("entity_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = F.col("entity_id")
+    no = lambda df: F.lit(None).cast(df.schema["entity_id"].dataType)
+    asks = queries.join(cells, "cell").select("cell", each("pn").alias("pc"), draw("qn").alias("qc"), F.lit(True).alias("is_query"), own.alias("s1_id"), no(pool).alias("cand_id"), "terms", "ws")
+    holds = pool.join(cells, "cell").select("cell", draw("pn").alias("pc"), each("qn").alias("qc"), F.lit(False).alias("is_query"), no(queries).alias("s1_id"), own.alias("cand_id"), "terms", "ws")
+    return asks.unionByName(holds).repartition("cell", "pc", "qc").sortWithinPartitions("cell", "pc", "qc")
+
+
 def search(queries: DataFrame, pool: DataFrame, path: SearchPath, keys: Sequence[str] = (), neighbors: DataFrame | None = None, blocked: bool = False, digits: int = 9) -> DataFrame:
     """(keys, s1_id, cand_id, <path>_score, <path>_rank): the top_k pool records of every query by weighted cosine, ties
     by cand_id; only pairs that share a term. Scores are rounded to ``digits`` before ranking."""
-    parts = []
+    p_all, q_all = [], []
     for f in path.fields:
-        tf = term_weights(pool, f, keys)
-        idf = fit_idf(pool, tf, f, keys)
-        p = postings(tf, idf, f, keys).withColumnsRenamed({"entity_id": "cand_id", "w": "pw"})
-        q = postings(term_weights(queries, f, keys), idf, f, keys, f.query_top).withColumnsRenamed({"entity_id": "s1_id", "w": "qw"})
-        on = [*keys, "term"]
-        if blocked:
-            p = p.join(block_keys(pool, None, False).withColumnRenamed("entity_id", "cand_id"), "cand_id")
-            q = q.join(block_keys(queries, neighbors, True).withColumnRenamed("entity_id", "s1_id"), "s1_id")
-            on.append("block")
-        parts.append(q.join(p, on).select(*keys, "s1_id", "cand_id", (F.col("qw") * F.col("pw")).alias("s")))
-    both = parts[0]
-    for x in parts[1:]:
-        both = both.unionByName(x)
-    scored = both.groupBy(*keys, "s1_id", "cand_id").agg(F.round(F.sum("s"), digits).alias("score"))
+        tf = materialize(term_weights(pool, f, keys))  # read for idf and for postings
+        idf = materialize(fit_idf(pool, tf, f, keys))
+        p_all.append(postings(tf, idf, f, keys))
+        q_all.append(postings(term_weights(queries, f, keys), idf, f, keys, f.query_top))
+    p, q = _vectors(p_all, keys), _vectors(q_all, keys)
+    if blocked:
+        p = p.join(block_keys(pool, None, False), "entity_id")
+        q = q.join(block_keys(queries, neighbors, True), "entity_id")
+    cell = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in (*keys, *["block"] * blocked)]).alias("cell")
+    slim = lambda df: df.select(cell, "entity_id", "terms", "ws")
+    q = materialize(slim(q))
+    # only the pool records in a cell that some query searches travel
+    p = materialize(slim(p).join(q.select("cell").distinct(), "cell", "left_semi"))
+    kinds = ", ".join(f"{c} {df.schema['entity_id'].dataType.simpleString()}" for c, df in (("s1_id", queries), ("cand_id", pool)))
+    found = _tasks(q, p).mapInArrow(_best(path.top_k, digits), f"cell string, {kinds}, score double")
+    parts = F.split("cell", "\x1f")
+    found = found.select(*[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(keys)], "s1_id", "cand_id", "score")
     rank = F.row_number().over(Window.partitionBy(*keys, "s1_id").orderBy(F.desc("score"), "cand_id"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= path.top_k)
+    best = found.withColumn("rank", rank).where(F.col("rank") <= path.top_k)
     return best.select(*keys, "s1_id", "cand_id", F.col("score").alias(f"{path.name}_score"), F.col("rank").alias(f"{path.name}_rank"))
 
 

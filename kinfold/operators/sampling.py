@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,8 +24,5 @@ def group_fold(entity: Column, folds: int) -> Column:
 def hash_sample(records: DataFrame, n: int, key: str = "entity_id", seed: int = 0, offset: int = 0) -> DataFrame:
     """``n`` rows in order of a seeded hash of their key, after ``offset`` of them: larger samples contain smaller ones."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    first = records.withColumn("kf_h", order).orderBy("kf_h", key).limit(offset + n)
-    if not offset:
-        return first.drop("kf_h")
-    ranked = first.withColumn("kf_r", F.row_number().over(Window.orderBy("kf_h", key)))
-    return ranked.where(F.col("kf_r") > offset).drop("kf_h", "kf_r")
+    ordered = records.withColumn("kf_h", order).orderBy("kf_h", key)
+    return (ordered.offset(offset) if offset else ordered).limit(n).drop("kf_h")

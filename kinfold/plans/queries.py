@@ -202,7 +202,7 @@ WORD_PATH = rt.SearchPath("word", (rt.Field("text", max_df=0.2),), 10)
 
 def _benchmark_hits(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("entity_id"), "text")
-    p = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "text")
+    p = io.spread(table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "text"))
     return rt.search(q, p, WORD_PATH, digits=6)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.lexicon import US_STATES
+from kinfold.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +87,7 @@ STATE_CODES = sorted(US_STATES)
 
 def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records for normalisation: every part as a business, dealt over sources and states."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     k = F.col("p_partkey")
     name = F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type"), F.lit(" & Sons Pvt. Ltd. #00"), k)
     address = F.concat(F.lit("Plot No 00"), k % 500, F.lit(", "), k % 90, F.lit(" Main Street, "), F.initcap("p_brand"), F.lit(", "), F.upper(F.element_at(F.array(*[F.lit(c) for c in STATE_CODES]), (k % len(STATE_CODES) + 1).cast("int"))))

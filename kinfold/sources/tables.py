@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,10 +66,25 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not overwrite and target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return False
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    replace_table(df, path)
     return True
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write next to ``path`` first and rename when all is committed: readers see the old table or the new one, and a
+    job that fails leaves the old one."""
+    spark = df.sparkSession
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    fresh, old, target = name(f"{path}.{uuid.uuid4().hex}.new"), name(f"{path}.{uuid.uuid4().hex}.old"), name(path)
+    df.write.option("compression", "zstd").parquet(fresh.toString())
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(fresh, target):
+        raise OSError(f"can't rename {fresh.toString()}")
+    fs.delete(old, True)
+
+
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where=None) -> DataFrame:
     """Parquet with the projection and filter pushed to the scan."""
     df = spark.read.parquet(path)
@@ -76,6 +92,13 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, least: int | None = None) -> DataFrame:
+    """``df`` in as many partitions as the session has cores, if its files split into fewer: a table in one small file
+    would else be one task's work. Large tables stay as their files split."""
+    least = least or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+
+
 def record_texts(records: DataFrame, name: str, address: str, ids: DataFrame | None = None) -> DataFrame:
     """(entity_id, text): name and address joined by a bar; of the given ids only."""
     df = records.join(ids, "entity_id", "left_semi") if ids is not None else records
@@ -90,8 +113,8 @@ def pending(work: DataFrame, done: DataFrame, keys: Sequence[str], part: int = 0
 
 def write_pairs_and_queries(pairs: DataFrame, queries: DataFrame, path: str) -> None:
     """Candidate pairs, and next to them every query, those without a candidate too."""
-    pairs.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/pairs")
-    queries.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/queries")
+    replace_table(pairs, f"{path}/pairs")
+    replace_table(queries, f"{path}/queries")
 
 
 def write_json(spark: SparkSession, value: object, path: str) -> None:
@@ -100,3 +123,8 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
     stream = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path, True)
     stream.write(bytearray(json.dumps(value, indent=1, sort_keys=True).encode()))
     stream.close()
+
+
+def read_json(spark: SparkSession, path: str) -> object:
+    """What :func:`write_json` wrote."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])

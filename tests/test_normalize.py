@@ -1,6 +1,10 @@
 """Names and addresses: cases with known outcomes, and properties."""
 
+import re
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from kinfold.functions.translit import ascii_lower, romanise
 from kinfold.operators.normalize import normalize_records, py_state_key, with_addresses, with_names
@@ -50,4 +54,14 @@ def test_all_columns_survive(spark):
 def test_folding():
     assert ascii_lower("Œuvre Straße ﬁn Ångström") == ("oeuvre strasse fin angstrom", False)
     assert romanise("दिल्ली") == "dilli" and romanise("ગુજરાત") == "gujarat"
+    assert ascii_lower("Москва Ёлка")[0] == "moskva iolka" and ascii_lower("Αθήνα Ψάρι")[0] == "athena psari"
+    assert ascii_lower("서울")[0] == "seoul" and ascii_lower("カラオケ")[0] == "karaoke" and ascii_lower("شركة")[0] == "shrkt" and ascii_lower("東京")[0] != ascii_lower("京東")[0]
     assert py_state_key("Maharashtra") == py_state_key("MAHARASTRA")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.characters(categories=["Lu", "Ll", "Lo"]), min_size=1, max_size=8))
+def test_no_letter_vanishes(text):
+    """Whatever the script, a name of letters stays a name; Indic runs may be vowel signs and marks alone."""
+    out, indic = ascii_lower(text)
+    assert out.isascii() and (indic or re.search("[a-z0-9']", out))
