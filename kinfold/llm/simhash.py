@@ -126,12 +126,13 @@ def _signed(x: int) -> int:
 
 
 def _links(radius: int, both: int | None = None, flush: int = 40_000):
-    """Tasks get rows (shard, side, fp[, fp2, ..., id]) sorted by shard, equal shards together. side 0: in the tree and a
-    query; 1: in the tree only; 2: a query only. Links need at most ``radius`` bits of fp to differ and, if ``both`` is
-    given, at most that many of all prints together; close pairs are linked first. Gives (a, b): fps, or ids."""
+    """Tasks get rows (shard, side, fp[, fp2, ..., label, id]) sorted by shard, equal shards together. side 0: in the tree
+    and a query; 1: in the tree only; 2: a query only. Links need at most ``radius`` bits of fp to differ and, if ``both``
+    is given, at most that many of all prints together; close pairs are linked first, and rows of equal label are linked
+    already. Gives (a, b): fps, or ids."""
 
     def solve(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, *more: np.ndarray) -> pa.RecordBatch | None:
-        others = [x.view(np.uint64) for x in more[:-1]]
+        others = [x.view(np.uint64) for x in more[:-2]]
         value = fp.view(np.uint64)
         inside = np.flatnonzero(side < 2)
         asking = np.flatnonzero(side != 1)
@@ -142,6 +143,9 @@ def _links(radius: int, both: int | None = None, flush: int = 40_000):
         tree = np.minimum(np.searchsorted(known, shard[asking]), len(known) - 1)
         asking, tree = asking[known[tree] == shard[asking]], tree[known[tree] == shard[asking]]
         root, out = np.arange(len(fp)), []
+        if both is not None:
+            _, first, place = np.unique(more[-2], return_index=True, return_inverse=True)
+            root = first[place]
         for most in (None,) if both is None else (both // 3, 2 * both // 3, both):
             for q, item in trees.search(value[asking], tree, radius if most is None else min(radius, most)):
                 left, right = asking[q], inside[item]
@@ -328,33 +332,52 @@ def _settled(similarity: float, both: int):
     return run
 
 
-def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, both: int = 54, shard_rows: int = 4096) -> DataFrame:
+def _judged(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``links`` (a, b) with holds, whether their shingle sets are similar, and same, whether they are equal."""
+    side = lambda i, s: sets.select(F.col("text_key").alias(i), F.col("shingles").alias(s))
+    pairs = links.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    pairs = pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size("x").alias("x"), F.size("y").alias("y"))
+    return materialize(pairs.select("a", "b", (F.col("shared") >= similarity * (F.col("x") + F.col("y") - F.col("shared"))).alias("holds"), ((F.col("shared") == F.col("x")) & (F.col("shared") == F.col("y"))).alias("same")))
+
+
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, both: int = 54, shard_rows: int = 4096, rounds: int = 4) -> DataFrame:
     """Groups of texts whose word-shingle sets have a Jaccard similarity of ``similarity`` or more. ``texts`` has
     text_key (equal for equal texts) and text; returns (text_key, part) for texts in groups of more than one key.
 
     Candidates are close SimHash pairs: within ``radius`` bits in BK-trees of shards by random bit subsets, and within
     ``both`` bits of 192. A spanning forest of them, and each text of equal bits with one of them, is checked on exact
-    shingle sets. A forest link that the check
-    refutes may have stood for true ones, so all pairs within ``both`` bits of such a group of candidates are compared:
-    in one task, or in pairs of chunks if the group is large."""
+    shingle sets. The bit subsets are tried in ``rounds``; texts that confirmed links join are no candidates of each other
+    later, so a large group of copies costs a few comparisons a member. A forest link that the check refutes may have stood
+    for true ones, so all pairs within ``both`` bits of such a group of candidates are compared: in one task, or in pairs
+    of chunks if the group is large."""
     found = materialize(texts.select("text_key", "text").mapInArrow(_hashed(shingle, "fingerprints"), "text_key long, fp long, fp2 long, fp3 long").distinct())
     nodes = materialize(found.groupBy(*PRINTS).agg(F.min("text_key").alias("id")))
     masks = [(_signed(x), _signed(y)) for x, y in sampled_masks(nodes.count())]
-    shards = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(x)), F.col("fp2").bitwiseAND(F.lit(y))) for k, (x, y) in enumerate(masks)]
-    keyed = nodes.select(*PRINTS, "id", F.explode(F.array(*shards)).alias("shard")).select("shard", *PRINTS, "id")
     twins = found.join(nodes, PRINTS).where("text_key <> id").select(F.col("text_key").alias("a"), F.col("id").alias("b"))  # equal in all bits
-    links = _deal(keyed, shard_rows).mapInArrow(_links(radius, both), "a long, b long").unionByName(twins)
-    links = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = links.select(F.col("a").alias("text_key")).union(links.select("b")).distinct()
-    sets = only_keys(texts.select("text_key", "text"), ends, ["text_key"]).groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = materialize(sets.mapInArrow(_hashed(shingle, "set"), "text_key long, shingles array<int>"))
-    pairs = links.join(sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("y")), "b")
-    pairs = pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size("x").alias("x"), F.size("y").alias("y"))
-    judged = materialize(pairs.select("a", "b", (F.col("shared") >= similarity * (F.col("x") + F.col("y") - F.col("shared"))).alias("holds"), ((F.col("shared") == F.col("x")) & (F.col("shared") == F.col("y"))).alias("same")))
+    labels = sets = links = judged = None
+    for r in range(rounds):
+        some = list(enumerate(masks))[r::rounds]
+        if not some:
+            continue
+        shards = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(x)), F.col("fp2").bitwiseAND(F.lit(y))) for k, (x, y) in some]
+        known = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")) if labels is not None else nodes.withColumn("label", F.col("id"))
+        keyed = known.select(*PRINTS, "label", "id", F.explode(F.array(*shards)).alias("shard")).select("shard", *PRINTS, "label", "id")
+        new = _deal(keyed, shard_rows).mapInArrow(_links(radius, both), "a long, b long")
+        new = new.unionByName(twins) if r == 0 else new
+        new = materialize(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ends = new.select(F.col("a").alias("text_key")).union(new.select("b")).distinct()
+        ends = ends.join(sets, "text_key", "left_anti") if sets is not None else ends
+        more = only_keys(texts.select("text_key", "text"), ends, ["text_key"]).groupBy("text_key").agg(F.first("text").alias("text"))
+        more = materialize(more.mapInArrow(_hashed(shingle, "set"), "text_key long, shingles array<int>"))
+        sets = more if sets is None else sets.unionByName(more)
+        one = _judged(new, sets, similarity)
+        judged, links = (one, new) if judged is None else (judged.unionByName(one), links.unionByName(new))
+        if r < rounds - 1:
+            labels = materialize(connected_components(judged.where("holds").select("a", "b")).withColumnRenamed("node", "id"))
     true = judged.where("holds").select("a", "b")
     if judged.where("not holds").count():
         parts = materialize(connected_components(links))
-        unclear = parts.join(judged.where("not holds").select(F.col("a").alias("node")), "node").select("label").distinct()
+        unclear = parts.join(judged.where("not holds").select(F.col("a").alias("node")).distinct(), "node").select("label").distinct()
         members = parts.join(unclear, "label").select(F.col("label").alias("shard"), F.col("node").alias("text_key"))
         members = members.join(judged.where("same").select(F.col("b").alias("text_key")), "text_key", "left_anti")  # its equal stands for it
         members = materialize(members.join(found, "text_key").join(sets, "text_key").select("shard", *PRINTS, F.col("text_key").alias("id"), "shingles"))
