@@ -77,6 +77,14 @@ def tune(scored: DataFrame, score: str, ids: DataFrame, truth: DataFrame, thresh
     return best.where(F.col("normal") >= F.col("best_normal") - slack).orderBy(F.desc("stress"), "threshold").limit(1)
 
 
+def rule_table(scored: DataFrame, methods: dict[str, str], thresholds: Sequence[float], hard: Sequence[str], ids: DataFrame, truth: DataFrame) -> DataFrame:
+    """(method, threshold, normal, stress): macro F0.5 on the scores and on their stress copy; ``hard`` are the scores
+    that make a negative a hard one."""
+    normal = sweep(scored, methods, thresholds, ids, truth).withColumnRenamed("f05", "normal")
+    stress = sweep(stress_copy(scored, hard), methods, thresholds, ids, truth).withColumnRenamed("f05", "stress")
+    return normal.join(stress, ["method", "threshold"])
+
+
 def choose_rule(results: DataFrame, base: str = "lgbm", slack: float = 0.0005, force: tuple[str, float] | None = None) -> DataFrame:
     """One row of ``results`` (method, threshold, normal, stress): the best stress score among those within ``slack`` of
     the base method's best normal score; or the forced one."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions.similarity import similarities
+
 PAIR = ["s1_id", "cand_id"]
 
 
@@ -51,6 +53,30 @@ def error_breakdown(pred: DataFrame, truth: DataFrame, candidates: DataFrame) ->
     return both.select(*PAIR, outcome.alias("outcome"))
 
 
+def errors_by(outcomes: DataFrame, ids: DataFrame, by: str) -> DataFrame:
+    """(by, outcome, n): outcomes of :func:`error_breakdown` by a column of ``ids`` (s1_id, by)."""
+    return outcomes.join(ids, "s1_id").groupBy(by, "outcome").agg(F.count("*").alias("n"))
+
+
+def diff_context(diff: DataFrame, texts: DataFrame) -> DataFrame:
+    """(s1_id, cand_id, change, a_text, b_text): added and dropped pairs with the texts (entity_id, text) of both sides."""
+    side = lambda i, c: texts.select(F.col("entity_id").alias(i), F.col("text").alias(c))
+    return diff.where("change <> 'kept'").join(side("s1_id", "a_text"), "s1_id").join(side("cand_id", "b_text"), "cand_id").select(*PAIR, "change", "a_text", "b_text")
+
+
+def normalisation_audit(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """One row over ``pairs``: their number, mean similarity of names before (raw) and after normalisation (norm) and of
+    addresses (addr), and how often states agree and numbers overlap where both sides have some."""
+    side = lambda i, p: records.select(F.col("entity_id").alias(i), *[F.col(c).alias(f"{p}_{c}") for c in ("name_norm", "addr_norm", "addr_state", "addr_numbers")], F.lower(F.coalesce("business_name", F.lit(""))).alias(f"{p}_raw"))
+    j = pairs.select(*PAIR).join(side("s1_id", "a"), "s1_id").join(side("cand_id", "b"), "cand_id")
+    two = lambda kernel, c: (kernel, F.col(f"a_{c}"), F.col(f"b_{c}"))
+    j = j.withColumn("s", similarities({"raw": two("ratio", "raw"), "norm": two("ratio", "name_norm"), "addr": two("token_set", "addr_norm")}))
+    both = lambda c, hit: F.when((F.col(f"a_{c}") != "") & (F.col(f"b_{c}") != ""), hit.cast("double"))
+    state = both("addr_state", F.col("a_addr_state") == F.col("b_addr_state"))
+    shared = both("addr_numbers", F.arrays_overlap(F.split("a_addr_numbers", " "), F.split("b_addr_numbers", " ")))
+    return j.agg(F.count("*").alias("n"), *[F.round(F.avg(f"s.{c}"), 3).alias(c) for c in ("raw", "norm", "addr")], F.round(F.avg(state), 3).alias("state_eq"), F.round(F.avg(shared), 3).alias("number_overlap"))
+
+
 def output_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(s1_id, cand_id, change): kept, added or dropped between two outputs."""
     both = old.select(*PAIR).distinct().withColumn("o", F.lit(1)).join(new.select(*PAIR).distinct().withColumn("n", F.lit(1)), PAIR, "full_outer")

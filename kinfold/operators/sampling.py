@@ -18,7 +18,7 @@ def entity_split(records: DataFrame, folds: int = 10, valid_fold: int = 0) -> Da
 
 def group_fold(entity: Column, folds: int) -> Column:
     """Fold of a group for out-of-fold training."""
-    return F.pmod(F.xxhash64(entity), F.lit(folds)).cast("int")
+    return hash_fold(entity, folds)
 
 
 def hash_sample(records: DataFrame, n: int, key: str = "entity_id", seed: int = 0, offset: int = 0) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.functions.lexicon import US_STATES
 from kinfold.functions.similarity import similarities, tri_state
 from kinfold.operators import decide as dc
 from kinfold.operators import features as ft
@@ -18,7 +17,7 @@ from kinfold.operators import normalize as nm
 from kinfold.operators import retrieve as rt
 from kinfold.operators import sampling as sp
 from kinfold.plans import golden
-from kinfold.plans.views import IDS_SQL, PAIRS_SQL, RECORDS_SQL, STATE_CODES, TRUTH_SQL, businesses, ids, pairs, records, table, truth
+from kinfold.plans.views import CLEAN_SQL, IDS_SQL, PAIRS_SQL, RECORDS_SQL, TRUTH_SQL, businesses, ids, pairs, records, table, truth
 from kinfold.sources import tables as io
 from kinfold.sources.storage import materialize, scratch_path
 
@@ -104,19 +103,14 @@ def norm_golden_address_texts(spark: SparkSession, d: str) -> DataFrame:
     return nm.with_addresses(df, "raw").select("raw", "country", "addr_norm")
 
 
-STATE_NAMES_SQL = "[" + ", ".join(f"'{US_STATES[c]}'" for c in STATE_CODES) + "]"
+CLEAN_COLUMNS = [
+    "entity_id", "name_norm", "name_core", "name_alias", "name_legal", "name_initials", "name_translit", "addr_norm", "addr_state", "addr_city", "addr_numbers", "addr_missing", "addr_translit", "country_norm",
+]
 
 
-@query(
-    f"""SELECT (CASE p_partkey % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END) || p_partkey AS entity_id,
-       p_name || ' ' || lower(p_type) || ' and sons pvt ltd 00' || p_partkey AS name_norm, p_name || ' ' || lower(p_type) || ' and sons' AS name_core,
-       'ltd pvt' AS name_legal, left(p_name, 1) || left(split_part(p_name, ' ', 2), 1) || left(lower(p_type), 1) || 's' AS name_initials,
-       {STATE_NAMES_SQL}[p_partkey % {len(STATE_CODES)} + 1] AS addr_state, 'us' AS country_norm, CAST((p_partkey % 500) AS VARCHAR) || ' ' || (p_partkey % 90) || ' main st ' || replace(lower(p_brand), '#', ' ') AS addr_norm
-       FROM part"""
-)
+@query(f"SELECT {', '.join(CLEAN_COLUMNS)} FROM clean", (CLEAN_SQL,))
 def norm_records(spark: SparkSession, d: str) -> DataFrame:
-    done = nm.normalize_records(businesses(spark, d))
-    return done.select("entity_id", "name_norm", "name_core", "name_legal", "name_initials", "addr_state", "country_norm", "addr_norm")
+    return nm.normalize_records(businesses(spark, d)).select(*CLEAN_COLUMNS)
 
 
 @query("SELECT page_id, coalesce(regexp_extract(url, '([a-z0-9-]+)\\.(com|net|org)', 1), '') AS name FROM pages")
@@ -219,19 +213,7 @@ def retrieve_top10(spark: SparkSession, d: str) -> DataFrame:
 def retrieve_recall(spark: SparkSession, d: str) -> DataFrame:
     """Truth: the documents that hold a benchmark passage; the benchmark is a stated query set."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("s1_id"), F.col("text").alias("passage"))
-    held = table(spark, d, "documents").join(F.broadcast(b), F.contains(F.col("text"), F.col("passage"))).select("s1_id", F.col("doc_id").alias("cand_id"))
-    return rt.recall_at(held, _benchmark_hits(spark, d), "word_rank", [1, 5, 10])
-
-
-@query()
-def retrieve_path_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Recall and candidates of the benchmark search under tighter settings."""
-    b = table(spark, d, "benchmark")
-    q = b.select(F.col("item_id").alias("entity_id"), "text")
-    docs = table(spark, d, "documents")
-    held = docs.join(F.broadcast(b.select(F.col("item_id").alias("s1_id"), F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage"))).select("s1_id", F.col("doc_id").alias("cand_id"))
-    variants = {f"max_df={m},query_top={t}": rt.SearchPath("word", (rt.Field("text", max_df=m, query_top=t),), 10) for m, t in ((0.2, 0), (0.05, 0), (0.05, 8))}
-    return rt.sweep_paths(q, docs.select(F.col("doc_id").alias("entity_id"), "text"), held, variants, [1, 10])
+    return rt.recall_at(passage_holders(spark, d), _benchmark_hits(spark, d), "word_rank", [1, 5, 10])
 
 
 @query(
@@ -250,18 +232,6 @@ def retrieve_char_grams(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.explode(rt.terms(F.col("p_name"), "char_wb")).alias("gram"))
 
 
-def _clean(spark: SparkSession, d: str) -> DataFrame:
-    """Normalised records as a table: many branches read them."""
-    return materialize(nm.normalize_records(businesses(spark, d)))
-
-
-@query()
-def retrieve_blocked_candidates(spark: SparkSession, d: str) -> DataFrame:
-    done = _clean(spark, d)
-    pools = {s: done.where(F.col("source") == s) for s in ("S2", "S3")}
-    return rt.generate_candidates(done.where("source = 'S1'"), pools)
-
-
 @query(
     "SELECT entity_id, unnest(CASE WHEN addr_state = '' THEN ['*'] ELSE [addr_state, ''] END) AS block FROM records",
     (RECORDS_SQL,),
@@ -305,16 +275,6 @@ def join_require_scores(spark: SparkSession, d: str) -> DataFrame:
     return dc.require_scores(scored, ["ce0"]).select("s1_id", "cand_id")
 
 
-@query(
-    "SELECT s1_id, cand_id, a.c_mktsegment AS a_segment, b.s_name AS b_name FROM pairs JOIN customer a ON s1_id = 'S1-' || a.c_custkey JOIN supplier b ON substr(cand_id, 4) = CAST(b.s_suppkey AS VARCHAR)",
-    PAIRS,
-)
-def join_pair_records(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").select(F.concat(F.lit("S1-"), "c_custkey").alias("s1_id"), F.col("c_mktsegment").alias("a_segment"))
-    b = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_name").alias("b_name"))
-    return pairs(spark, d).withColumn("k", F.substring("cand_id", 4, 100)).join(a, "s1_id").join(b, "k").select("s1_id", "cand_id", "a_segment", "b_name")
-
-
 @query(
     """SELECT r.entity_id, coalesce(n.f, 0) AS name_core_freq, coalesce(k.f, 0) AS addr_key_freq FROM (SELECT *, addr_numbers || '|' || addr_city AS addr_key FROM records) r
        LEFT JOIN (SELECT country_norm, name_core, count(*) AS f FROM records GROUP BY ALL) n ON r.country_norm = n.country_norm AND r.name_core = n.name_core
@@ -456,20 +416,6 @@ def window_stack_features(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s1_id", "cand_id", F.round("prod", 9).alias("prod"), F.round("absdiff", 9).alias("absdiff"), "cand_is_s3", "rank_p_lgbm", F.round("gap_src_p_ce", 9).alias("gap_src_p_ce"), "n_cands")
 
 
-@query(
-    """SELECT id AS doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, term) AS r FROM (SELECT id, term, round(w, 9) AS w FROM pw)) WHERE r <= 5""",
-    (TFIDF_SQL,),
-)
-def window_query_top(spark: SparkSession, d: str) -> DataFrame:
-    pool = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "text")
-    tf = rt.term_weights(pool, WORD_PATH.fields[0], ())
-    idf = rt.fit_idf(pool, tf, WORD_PATH.fields[0], ())
-    raw = tf.join(idf, "term").select("entity_id", "term", F.round(F.col("tf") * F.col("idf"), 9).alias("w"))
-    r = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("w"), "term"))
-    top = raw.withColumn("r", r).where("r <= 5")
-    return top.select(F.col("entity_id").alias("doc_id"), "term", F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("entity_id"))), 6).alias("w"))
-
-
 EXPECTED_SQL = """e AS (SELECT s1_id, cand_id, p, row_number() OVER o AS k, sum(p) OVER (o ROWS UNBOUNDED PRECEDING) AS tp, sum(p) OVER (PARTITION BY s1_id) / 0.98 AS total, exp(sum(ln(1 - least(p, 1 - 1e-9))) OVER (PARTITION BY s1_id)) AS none FROM pairs WHERE p >= 0.05 WINDOW o AS (PARTITION BY s1_id ORDER BY p DESC, cand_id)),
 b AS (SELECT s1_id, arg_max(k, (1.25 * tp / (0.25 * total + k), -k)) AS best, max(1.25 * tp / (0.25 * total + k)) AS most, any_value(none) AS none FROM e GROUP BY s1_id)"""
 
@@ -537,39 +483,6 @@ def sim_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("s", similarities({"jw": ("jaro_winkler", F.col("p_name"), F.col("kind"))})).select("p_partkey", F.round("s.jw", 6).alias("jw"))
 
 
-@query()
-def sim_name_kernels(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").withColumn("other", F.concat_ws(" ", F.lower("p_type"), "p_name"))
-    kernels = ("ratio", "token_sort", "token_set", "partial", "partial_token_set", "jaro_winkler")
-    p = p.withColumn("s", similarities({k: (k, F.col("p_name"), F.col("other")) for k in kernels}))
-    return p.select("p_partkey", *[F.round(f"s.{k}", 6).alias(k) for k in kernels])
-
-
-def _featured(spark: SparkSession, d: str) -> DataFrame:
-    done = _clean(spark, d)
-    done = materialize(lk.add_frequencies(done, done.where("source <> 'S1'")))
-    pools = {s: done.where(F.col("source") == s) for s in ("S2", "S3")}
-    found = rt.generate_candidates(done.where("source = 'S1'"), pools, (rt.SearchPath("addr", (rt.Field("addr_norm", max_df=0.2),), 3), rt.SearchPath("both", (rt.Field("name_norm", max_df=0.2, weight=0.6), rt.Field("addr_norm", weight=0.4, max_df=0.2)), 3)))
-    return ft.pair_features(materialize(found), done)
-
-
-def _neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of an S1 business and the S2 one of the next key."""
-    k = F.col("p_partkey")
-    return table(spark, d, "part").where(k % 3 == 0).select(F.concat(F.lit("S1-"), k).alias("s1_id"), F.concat(F.lit("S2-"), k + 1).alias("cand_id"))
-
-
-@query()
-def sim_pair_features(spark: SparkSession, d: str) -> DataFrame:
-    return _featured(spark, d)
-
-
-@query()
-def sim_word_features(spark: SparkSession, d: str) -> DataFrame:
-    done = _clean(spark, d)
-    return ft.word_features(_neighbours(spark, d), done, lk.token_idf(done))
-
-
 # ---- decisions and metrics ---------------------------------------------------------------------------------------
 
 COUNTS_SQL = "SELECT i.s1_id, coalesce(t.n, 0) AS n_true, coalesce(c.n, 0) AS n_pred, coalesce(c.tp, 0) AS tp FROM ids i LEFT JOIN (SELECT s1_id, count(*) AS n FROM truth GROUP BY s1_id) t ON i.s1_id = t.s1_id LEFT JOIN (SELECT m.s1_id, count(*) AS n, count(t.s1_id) AS tp FROM {m} m LEFT JOIN truth t ON m.s1_id = t.s1_id AND m.cand_id = t.cand_id GROUP BY m.s1_id) c ON i.s1_id = c.s1_id"
@@ -599,7 +512,7 @@ cnt AS (SELECT k.method, k.threshold, k.s1_id, count(*) AS n, count(t.s1_id) AS
 res AS (SELECT method, threshold, round(avg({F05}), 6) AS f05 FROM (SELECT g.method, g.threshold, coalesce(t.n, 0) AS n_true, coalesce(c.n, 0) AS n_pred, coalesce(c.tp, 0) AS tp FROM ids i CROSS JOIN grid g LEFT JOIN (SELECT s1_id, count(*) AS n FROM truth GROUP BY s1_id) t ON i.s1_id = t.s1_id LEFT JOIN cnt c ON c.s1_id = i.s1_id AND c.method = g.method AND c.threshold = g.threshold) GROUP BY method, threshold)"""
 
 
-def _methods(spark: SparkSession, d: str) -> DataFrame:
+def methods(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).withColumn("b7", dc.blend("p_ce", "p", 0.7))
 
 
@@ -608,18 +521,7 @@ METHODS = {"lgbm": "p", "ce": "p_ce", "blend0.7": "b7"}
 
 @query("SELECT method, threshold, f05 FROM res", (*JUDGED, LONG_SQL, SWEEP_SQL))
 def metric_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return dc.sweep(_methods(spark, d), METHODS, (0.5, 0.7, 0.9), ids(spark, d), truth(spark, d))
-
-
-@query("SELECT method, threshold, f05 AS stress FROM res WHERE f05 >= (SELECT max(f05) - 0.0005 FROM res WHERE method = 'lgbm') ORDER BY f05 DESC, method, threshold LIMIT 1", (*JUDGED, LONG_SQL, SWEEP_SQL))
-def decide_rule(spark: SparkSession, d: str) -> DataFrame:
-    res = dc.sweep(_methods(spark, d), METHODS, (0.5, 0.7, 0.9), ids(spark, d), truth(spark, d))
-    return dc.choose_rule(res.withColumns({"normal": F.col("f05"), "stress": F.col("f05")})).select("method", "threshold", "stress")
-
-
-@query()
-def decide_tuned_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return dc.tune(pairs(spark, d), "p", ids(spark, d), truth(spark, d))
+    return dc.sweep(methods(spark, d), METHODS, (0.5, 0.7, 0.9), ids(spark, d), truth(spark, d))
 
 
 @query("SELECT c_mktsegment AS segment, round(avg(n), 6) AS mean_matches, round(avg(CAST(n = 0 AS DOUBLE)), 6) AS share_0, round(avg(CAST(n >= 6 AS DOUBLE)), 6) AS share_6_up FROM (SELECT c_mktsegment, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT s1_id, count(*) AS n FROM matched GROUP BY s1_id) ON s1_id = 'S1-' || c_custkey) GROUP BY c_mktsegment", (PAIRS_SQL, OWNED_SQL))
@@ -628,23 +530,6 @@ def report_match_profile(spark: SparkSession, d: str) -> DataFrame:
     return mt.match_profile(who, dc.decide(pairs(spark, d), "p", 0.7), "segment")
 
 
-@query()
-def report_oracle_variants(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d)
-    return mt.oracle_variants(p, ids(spark, d), dc.decide(p, "p", 0.7), truth(spark, d), "p", 0.7)
-
-
-@query()
-def report_normalisation_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity before and after normalisation."""
-    done = _clean(spark, d)
-    side = lambda i, p: done.select(F.col("entity_id").alias(i), *[F.col(c).alias(f"{p}_{c}") for c in ("business_name", "name_norm", "business_address", "addr_norm", "addr_state")])
-    j = _neighbours(spark, d).join(side("s1_id", "a"), "s1_id").join(side("cand_id", "b"), "cand_id").withColumns({f"{p}_low": F.lower(f"{p}_business_name") for p in "ab"})
-    j = j.withColumn("s", similarities({"raw": ("ratio", F.col("a_low"), F.col("b_low")), "norm": ("ratio", F.col("a_name_norm"), F.col("b_name_norm")), "addr": ("token_set", F.col("a_addr_norm"), F.col("b_addr_norm"))}))
-    state = F.when((F.col("a_addr_state") != "") & (F.col("b_addr_state") != ""), (F.col("a_addr_state") == F.col("b_addr_state")).cast("double"))
-    return j.agg(F.count("*").alias("n"), *[F.round(F.avg(f"s.{c}"), 3).alias(c) for c in ("raw", "norm", "addr")], F.round(F.avg(state), 3).alias("state_eq"))
-
-
 # ---- learning ----------------------------------------------------------------------------------------------------
 
 SMALL = md.Boosting(rounds=5, depth=3, min_rows=20)
@@ -663,12 +548,7 @@ def model_stacker(spark: SparkSession, d: str) -> DataFrame:
     return oof.select("s1_id", "cand_id", "p_stack")
 
 
-@query()
-def model_pair_scorer(spark: SparkSession, d: str) -> DataFrame:
-    """The plug-in slot, with a string similarity as the model."""
-    from kinfold.functions.similarity import token_set_ratio
-
-    texts = table(spark, d, "customer").select(F.concat(F.lit("S1-"), "c_custkey").alias("entity_id"), F.lower("c_name").alias("text"))
-    s = table(spark, d, "supplier").select(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "S2-").otherwise("S3-"), "s_suppkey").alias("entity_id"), F.lower("s_name").alias("text"))
-    scorer = lambda a, b: [token_set_ratio(x, y) / 100 for x, y in zip(a, b)]
-    return md.score_pairs_with(pairs(spark, d).select("s1_id", "cand_id"), texts.unionByName(s), scorer)
+from kinfold.plans import linkage_queries  # noqa: E402  registers its queries with the same decorator
+from kinfold.plans.linkage_queries import passage_holders  # noqa: E402
+
+__all__ = ["QUERIES", "SQL", "linkage_queries"]

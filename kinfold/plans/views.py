@@ -85,10 +85,38 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATE_CODES = sorted(US_STATES)
 
 
+CITIES = "Dover Salem Auburn Clinton Bristol Milton Oxford Newport Hudson Kingston Marion Ashland".split()
+
+
 def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw records for normalisation: every part as a business, dealt over sources and states."""
+    """Raw records for normalisation: every part as a business, dealt over sources, cities and states. Sources spell the
+    legal form and the letters' case in their own way; some records have an alias, no state or no address."""
     p = spread(table(spark, sf_dir, "part"))
     k = F.col("p_partkey")
-    name = F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type"), F.lit(" & Sons Pvt. Ltd. #00"), k)
-    address = F.concat(F.lit("Plot No 00"), k % 500, F.lit(", "), k % 90, F.lit(" Main Street, "), F.initcap("p_brand"), F.lit(", "), F.upper(F.element_at(F.array(*[F.lit(c) for c in STATE_CODES]), (k % len(STATE_CODES) + 1).cast("int"))))
-    return p.select(F.concat(F.when(k % 3 == 0, "S1-").when(k % 3 == 1, "S2-").otherwise("S3-"), k).alias("entity_id"), name.alias("business_name"), address.alias("business_address"), F.lit("US").alias("country"), F.when(k % 3 == 0, "S1").when(k % 3 == 1, "S2").otherwise("S3").alias("source"))
+    pick = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (k % n + 1).cast("int"))
+    source = F.when(k % 3 == 0, "S1").when(k % 3 == 1, "S2").otherwise("S3")
+    legal = F.when(k % 3 == 2, " & Sons Private Limited #00").otherwise(" & Sons Pvt. Ltd. #00")
+    alias = F.when(k % 7 == 0, F.concat(F.lit(" formerly known as "), F.initcap("p_type"), F.lit(" Workshop"))).otherwise("")
+    name = F.concat("p_name", F.lit(" "), F.lower("p_type"), legal, k, alias)
+    state = F.when(k % 13 == 0, "").otherwise(F.concat(F.lit(", "), F.upper(pick(STATE_CODES, len(STATE_CODES)))))
+    address = F.concat(F.lit("Plot No 00"), k % 500, F.lit(", "), k % 90, F.lit(" Main Street, "), F.initcap("p_brand"), F.lit(", "), pick(CITIES, len(CITIES)), state)
+    return p.select(
+        F.concat(source, F.lit("-"), k).alias("entity_id"),
+        F.when(k % 3 == 1, F.upper(name)).otherwise(name).alias("business_name"),
+        F.when(k % 11 != 0, address).alias("business_address"),
+        F.lit("US").alias("country"),
+        source.alias("source"),
+    )
+
+
+_NAMES = "[" + ", ".join(f"'{US_STATES[c]}'" for c in STATE_CODES) + "]"
+_CITIES = "[" + ", ".join(f"'{c.lower()}'" for c in CITIES) + "]"
+#: The same records, normalised, as SQL.
+CLEAN_SQL = f"""raw_parts AS (SELECT p_partkey AS k, p_name, lower(p_type) AS kind, regexp_extract(p_brand, '[0-9]+') AS brand, p_partkey % 11 = 0 AS gone FROM part),
+clean AS (SELECT (CASE k % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END) || k AS entity_id, (CASE k % 3 WHEN 0 THEN 'S1' WHEN 1 THEN 'S2' ELSE 'S3' END) AS source,
+  p_name || ' ' || kind || ' and sons pvt ltd 00' || k || CASE WHEN k % 7 = 0 THEN ' ' || kind || ' workshop' ELSE '' END AS name_norm, p_name || ' ' || kind || ' and sons' AS name_core,
+  CASE WHEN k % 7 = 0 THEN kind || ' workshop' ELSE '' END AS name_alias, 'ltd pvt' AS name_legal, left(p_name, 1) || left(split_part(p_name, ' ', 2), 1) || left(kind, 1) || 's' AS name_initials, false AS name_translit,
+  CASE WHEN gone THEN '' ELSE (k % 500) || ' ' || (k % 90) || ' main st brand ' || brand || ' ' || {_CITIES}[k % {len(CITIES)} + 1] END AS addr_norm,
+  CASE WHEN gone OR k % 13 = 0 THEN '' ELSE {_NAMES}[k % {len(STATE_CODES)} + 1] END AS addr_state, CASE WHEN gone THEN '' ELSE {_CITIES}[k % {len(CITIES)} + 1] END AS addr_city,
+  CASE WHEN gone THEN '' ELSE array_to_string(list_transform(list_sort(list_transform(list_distinct([CAST(k % 500 AS VARCHAR), CAST(k % 90 AS VARCHAR), brand]), lambda n: lpad(CAST(length(n) AS VARCHAR), 4, '0') || n)), lambda x: substr(x, 5)), ' ') END AS addr_numbers,
+  gone AS addr_missing, false AS addr_translit, 'us' AS country_norm FROM raw_parts)"""
