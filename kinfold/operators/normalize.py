@@ -12,10 +12,26 @@ from kinfold.functions import lexicon as lx
 from kinfold.functions.translit import to_ascii_lower
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an expression used twice, or inside a lambda, is else computed anew at
+    every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def found_in(table: dict[str, str], key: Column) -> Column:
+    """The table's value for a key, null where there is none. A map is searched from its start, so a hash set first tells
+    the few keys that it holds."""
+    return F.when(key.isin(list(table)), F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key))
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The table's value for a key, the key itself where there is none."""
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, key), key)
+    return F.coalesce(found_in(table, key), key)
+
+
+def chained(*tables: dict[str, str]) -> dict[str, str]:
+    """One table for lookups in several, one after the other."""
+    return {k: reduce(lambda x, t: t.get(x, x), tables, k) for t in tables for k in t}
 
 
 def tokens(text: Column) -> Column:
@@ -30,9 +46,9 @@ def any_of(words: list[str]) -> str:
 
 def repair_leet(t: Column) -> Column:
     """Digits typed for letters, in tokens that are mostly letters: h0rizon, but not cs1464 nor 4th."""
-    letters = F.length(F.regexp_replace(t, "[0-9]", ""))
-    digits = F.length(t) - letters
-    typo = (digits > 0) & (letters >= 2) & (digits <= 2) & (letters > digits) & ~t.rlike("^[0-9]+(st|nd|rd|th)$")
+    one = t.rlike("^[a-z]*[0-9][a-z]*$") & (F.length(t) >= 3)
+    two = t.rlike("^[a-z]*[0-9][a-z]*[0-9][a-z]*$") & (F.length(t) >= 5)
+    typo = (one | two) & ~t.rlike("^[0-9]+(st|nd|rd|th)$")
     return F.when(typo, F.translate(t, "0134578", "oleastb")).otherwise(t)
 
 
@@ -52,7 +68,7 @@ def name_text(text: Column) -> Column:
     """Name tokens joined by spaces: symbols to words, web addresses to their name, typing repaired, forms canonical."""
     text = F.replace(F.replace(text, F.lit("&"), F.lit(" and ")), F.lit("@"), F.lit(" at "))
     text = F.regexp_replace(text, r"\b(?:www\.)?([a-z0-9-]+)\.(?:" + "|".join(re.escape(e) for e in lx.DOMAIN_ENDINGS) + r")\b", " $1 ")
-    found = F.transform(tokens(text), lambda t: lookup(lx.SHARED_TOKENS, repair_leet(t)))
+    found = F.transform(F.transform(tokens(text), repair_leet), lambda t: lookup(lx.SHARED_TOKENS, t))
     return canonical_legal(join_letters(F.array_join(found, " ")))
 
 
@@ -73,7 +89,7 @@ def core_text(text: Column) -> Column:
     """A name without form of address, bracketed parts, number tags, legal forms and stop words at its ends."""
     bare = F.regexp_replace(F.regexp_replace(without_honorific(text), BRACKETS, " "), r"#\s*[0-9]+", " ")
     kept = F.filter(F.split(name_text(bare), " "), lambda t: (t != "") & ~t.isin(lx.LEGAL_TOKENS))
-    joined = F.array_join(drop_repeats(kept), " ")
+    joined = F.array_join(bound(kept, drop_repeats), " ")
     return F.trim(F.regexp_replace(F.regexp_replace(joined, f"^(?:{EDGE}(?: |$))+", ""), f"(?:(?:^| ){EDGE})+$", ""))
 
 
@@ -133,12 +149,14 @@ STATES_BY_KEY = {
 
 def match_state(segment: Column, country: Column) -> Column:
     """The state that a whole address segment names, by postal code in two countries or by sound; else blank."""
-    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    code = F.when(country.isin("us", "usa"), F.try_element_at(table(lx.US_STATES), segment)).when(country == "india", F.try_element_at(table(lx.INDIA_STATES), segment))
-    named = F.when(F.length(segment) > 2, F.try_element_at(table(STATES_BY_KEY), state_key(segment)))
+    code = F.when(country.isin("us", "usa"), found_in(lx.US_STATES, segment)).when(country == "india", found_in(lx.INDIA_STATES, segment))
+    named = F.when(F.length(segment) > 2, bound(state_key(segment), lambda k: found_in(STATES_BY_KEY, k)))
     return F.coalesce(code, named, F.lit(""))
 
 
+ADDRESS_WORDS = chained(lx.ADDRESS_ABBREVIATIONS, lx.SHARED_TOKENS, lx.CITY_ALIASES)
+
+
 def address_tokens(segment: Column) -> Column:
     """Tokens of a segment in one spelling, without labels of numbers and words that locate nothing."""
     text = F.regexp_replace(segment, r"\b([0-9]+)(?:st|nd|rd|th)\b", "$1")
@@ -149,13 +167,11 @@ def address_tokens(segment: Column) -> Column:
         def one(t: Column, i: Column) -> Column:
             number = t.rlike("^[0-9]+$")
             road = (t == "r") & (i > 0) & F.coalesce(F.get(found, i - 1).rlike("^[0-9]+$"), F.lit(False))
-            t = F.when(number, F.regexp_replace(t, "^0+(?!$)", "")).when(road, F.lit("rue")).otherwise(t)
-            return reduce(lambda x, table: lookup(table, x), (lx.ADDRESS_ABBREVIATIONS, lx.SHARED_TOKENS, lx.CITY_ALIASES), t)
+            return F.when(number, F.regexp_replace(t, "^0+(?!$)", "")).when(road, F.lit("rue")).otherwise(t)
 
-        return F.transform(found, one)
+        return F.transform(F.transform(found, one), lambda t: lookup(ADDRESS_WORDS, t))
 
-    once = F.element_at(F.transform(F.array(kept), rewrite), 1)
-    return F.element_at(F.transform(F.array(once), drop_repeats), 1)
+    return bound(bound(kept, rewrite), drop_repeats)
 
 
 def with_addresses(df: DataFrame, address: str = "business_address", country: str = "country") -> DataFrame:

@@ -197,19 +197,26 @@ def _tasks(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return asks.unionByName(holds).repartition("cell", "pc", "qc").sortWithinPartitions("cell", "pc", "qc")
 
 
-def search(queries: DataFrame, pool: DataFrame, path: SearchPath, keys: Sequence[str] = (), neighbors: DataFrame | None = None, blocked: bool = False, digits: int = 9) -> DataFrame:
+def search(
+    queries: DataFrame, pool: DataFrame, path: SearchPath, keys: Sequence[str] = (), neighbors: DataFrame | None = None, blocked: bool = False, digits: int = 9, fitted: dict | None = None
+) -> DataFrame:
     """(keys, s1_id, cand_id, <path>_score, <path>_rank): the top_k pool records of every query by weighted cosine, ties
-    by cand_id; only pairs that share a term. Scores are rounded to ``digits`` before ranking."""
+    by cand_id; only pairs that share a term. Scores are rounded to ``digits`` before ranking. Paths over the same tables
+    may share ``fitted``, the term statistics by field."""
     p_all, q_all = [], []
+    fitted = {} if fitted is None else fitted
     for f in path.fields:
-        tf = materialize(term_weights(pool, f, keys))  # read for idf and for postings
-        idf = materialize(fit_idf(pool, tf, f, keys))
+        what = (f.column, f.analyzer, f.min_df, f.max_df)
+        if what not in fitted:
+            tf = materialize(term_weights(pool, f, keys))  # read for idf and for postings
+            fitted[what] = tf, materialize(fit_idf(pool, tf, f, keys)), term_weights(queries, f, keys)
+        tf, idf, asked = fitted[what]
         p_all.append(postings(tf, idf, f, keys))
-        q_all.append(postings(term_weights(queries, f, keys), idf, f, keys, f.query_top))
+        q_all.append(postings(asked, idf, f, keys, f.query_top))
     p, q = _vectors(p_all, keys), _vectors(q_all, keys)
     if blocked:
         p = p.join(block_keys(pool, None, False), "entity_id")
-        q = q.join(block_keys(queries, neighbors, True), "entity_id")
+        q = q.join(block_keys(queries.dropDuplicates(["entity_id"]), neighbors, True), "entity_id")
     cell = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in (*keys, *["block"] * blocked)]).alias("cell")
     slim = lambda df: df.select(cell, "entity_id", "terms", "ws")
     q = materialize(slim(q))
@@ -236,15 +243,19 @@ def merge_paths(found: Sequence[tuple[str, DataFrame]], on: Sequence[str] = ("s1
 
 
 def generate_candidates(queries: DataFrame, pools: dict[str, DataFrame], paths: Sequence[SearchPath] = DEFAULT_PATHS, neighbors: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs of S1 records with each pool, inside the country, by all paths; cand_source names the pool."""
-    out = None
-    for source, pool in pools.items():
-        found = [(p.name, search(queries, pool, p, ("country_norm",), neighbors, blocked=True)) for p in paths]
-        one = merge_paths(found, ("country_norm", "s1_id", "cand_id")).withColumn("cand_source", F.lit(source))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    """Candidate pairs of S1 records with each pool, inside the country, by all paths; cand_source names the pool. All
+    pools are searched together: a pool's name is a key of its statistics and cells, like the country."""
+    if not pools:
         raise ValueError("no pool to search")
-    return out.drop("country_norm")
+    columns = list(dict.fromkeys(["country_norm", "entity_id", "addr_state", *[f.column for p in paths for f in p.fields]]))
+    pool = None
+    for source, df in pools.items():
+        one = df.select(*columns, F.lit(source).alias("cand_source"))
+        pool = one if pool is None else pool.unionByName(one)
+    asks = queries.select(*columns, F.explode(F.array(*[F.lit(s) for s in pools])).alias("cand_source"))
+    keys, fitted = ("country_norm", "cand_source"), {}
+    found = [(p.name, search(asks, pool, p, keys, neighbors, blocked=True, fitted=fitted)) for p in paths]
+    return merge_paths(found, (*keys, "s1_id", "cand_id")).drop("country_norm")
 
 
 def trim_candidates(pairs: DataFrame, addr_k: int, both_k: int) -> DataFrame:

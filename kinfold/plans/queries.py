@@ -213,6 +213,8 @@ def retrieve_top10(spark: SparkSession, d: str) -> DataFrame:
 def retrieve_recall(spark: SparkSession, d: str) -> DataFrame:
     """Truth: the documents that hold a benchmark passage; the benchmark is a stated query set."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("s1_id"), F.col("text").alias("passage"))
+    from kinfold.plans.linkage_queries import passage_holders
+
     return rt.recall_at(passage_holders(spark, d), _benchmark_hits(spark, d), "word_rank", [1, 5, 10])
 
 
@@ -549,6 +551,5 @@ def model_stacker(spark: SparkSession, d: str) -> DataFrame:
 
 
 from kinfold.plans import linkage_queries  # noqa: E402  registers its queries with the same decorator
-from kinfold.plans.linkage_queries import passage_holders  # noqa: E402
 
 __all__ = ["QUERIES", "SQL", "linkage_queries"]
