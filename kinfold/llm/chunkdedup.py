@@ -2,7 +2,8 @@
 
 A gear rolling hash over the last 16 bytes sets chunk ends, so that ends depend on content alone and fall in step again
 soon after an insertion. Chunks are deduplicated by a 128-bit digest: of the copies the one in the document with the
-smallest id stays. Every repeated chunk counts, however short its run.
+smallest id stays. Chunks are short, some 45 bytes, so that a passage holds several whole ones wherever it begins; a
+run of repeated chunks counts from ``min_run`` bytes, longer than what texts share by chance.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize, sliced
+from kinfold.llm.common import looked_up, materialize, sliced
 
 #: One random word for each byte value, from a rule.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 2024) for b in range(256)], np.uint64)
-#: Six bits that the last 16 bytes decide: an end every 64 bytes on average.
-MASK = np.uint64(0x3F << 10)
-SHORTEST, LONGEST = 24, 160
+#: Five bits that the last 16 bytes decide: an end every 32 bytes on average, after the shortest chunk.
+MASK = np.uint64(0x1F << 10)
+SHORTEST, LONGEST = 16, 128
+#: Bytes of the shortest run that counts. Chance repeats of invented prose reach some 60 bytes in 25 MB.
+MIN_RUN = 96
+#: One document in SAMPLED is looked at for chunks with more than one row in HOT.
+SAMPLED, HOT = 32, 2000
 
 
 def chunk_ends(data: bytes) -> list[int]:
@@ -49,33 +54,57 @@ def chunk_ends(data: bytes) -> list[int]:
     return out
 
 
-def _key() -> Column:
-    return F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text")
+def _keys() -> list[Column]:
+    """128 bits for a row: rows of equal id and text are one document."""
+    parts = (F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.col("text"))
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
 
 
 def _chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc_id, text) to a row for each chunk."""
-    for whole in parts:
-        for lo in range(0, whole.num_rows, 512):
-            part = whole.slice(lo, 512)
-            row, start, size, digests, again = [], [], [], [], []
-            for i, x in enumerate(part.column(2)):
-                data = (x.as_py() or "").encode("utf-8", "surrogatepass")
-                ends = chunk_ends(data)
-                begins = [0, *ends[:-1]][: len(ends)]
-                own = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(begins, ends)]
-                seen: set[bytes] = set()
-                for d in own:
-                    again.append(d in seen)
-                    seen.add(d)
-                row += [i] * len(ends)
-                start += begins
-                size += [b - a for a, b in zip(begins, ends)]
-                digests += own
-            at = pa.array(row, pa.int64())
-            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2) if digests else np.zeros((0, 2), np.int64)
-            columns = [part.column(0).take(at), part.column(1).take(at), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(again, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "size", "h1", "h2", "again"])
+    """Rows (k1, k2, doc_id, text) to a row for each chunk."""
+    for part in sliced(parts):
+        row, start, size, digests, again = [], [], [], [], []
+        for i, x in enumerate(part.column(3)):
+            data = x.as_py().encode("utf-8", "surrogatepass")
+            ends = chunk_ends(data)
+            begins = [0, *ends[:-1]][: len(ends)]
+            own = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(begins, ends)]
+            seen: set[bytes] = set()
+            for d in own:
+                again.append(d in seen)
+                seen.add(d)
+            row += [i] * len(ends)
+            start += begins
+            size += [b - a for a, b in zip(begins, ends)]
+            digests += own
+        at = pa.array(row, pa.int64())
+        h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2) if digests else np.zeros((0, 2), np.int64)
+        columns = [*(part.column(k).take(at) for k in range(3)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(again, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "start", "size", "h1", "h2", "again"])
+
+
+def _repeats(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h1, h2, doc_id, k1, k2, start, size, again) sorted by the first three, null ids last, equal digests together:
+    those of digests that occur twice, with gone. Only the first row of the last digest is held."""
+    held: pa.RecordBatch | None = None
+    told = False  # whether the held row has been given
+    for part in parts:
+        if not part.num_rows:
+            continue
+        rows = pa.Table.from_batches([held, part]).combine_chunks() if held is not None else pa.Table.from_batches([part])
+        h1, h2 = rows["h1"].to_numpy(), rows["h2"].to_numpy()
+        doc, none = rows["doc_id"].fill_null(0).to_numpy(), rows["doc_id"].is_null().to_numpy()
+        first = np.flatnonzero(np.insert((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]), 0, True))
+        size = np.diff(np.append(first, len(h1)))
+        lead = np.repeat(first, size)
+        gone = rows["again"].to_numpy() | (none != none[lead]) | ((doc != doc[lead]) & ~none)
+        stays = np.repeat(size, size) > 1
+        if held is not None and told:
+            stays[0] = False
+        out = rows.append_column("gone", pa.array(gone)).filter(pa.array(stays)).select(["k1", "k2", "start", "size", "gone"])
+        yield from out.to_batches()
+        told = bool(size[-1] > 1) or (told and held is not None and len(first) == 1)
+        held = rows.slice(int(first[-1]), 1).combine_chunks().to_batches()[0]
 
 
 def _cut(min_run: int):
@@ -117,19 +146,30 @@ def _cut(min_run: int):
     return run
 
 
-def chunk_dedup(docs: DataFrame, min_run: int = 1) -> DataFrame:
+def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """One row per document of ``docs`` (doc_id, text): doc_id, n_bytes, n_repeated (bytes of chunks that occur
-    elsewhere too, in runs of ``min_run`` bytes at least), n_removed (those of them that an earlier copy makes redundant), n_spans (maximal removed runs),
-    kept_sha256 of the remaining bytes and kept_text (a character cut in two is left out).
+    elsewhere too, in runs of ``min_run`` bytes at least, or a whole text), n_removed (those of them that an earlier copy
+    makes redundant), n_spans (maximal removed runs), kept_sha256 of the remaining bytes and kept_text (a character cut
+    in two is left out).
 
     The copy that stays is the first one in the document of smallest doc_id; rows with equal id and text are one
     document and don't remove each other's chunks, but count as repeats; where all copies lack an id, all stay. Null
     and empty texts have no chunks. An empty table gives no rows; extra columns are ignored."""
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chunks = materialize(base.select(_key().alias("key"), "doc_id", "text").mapInArrow(_chunks, "key long, doc_id long, start long, size long, h1 long, h2 long, again boolean"))
-    firsts = chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
+    chunked = lambda df: df.select(*_keys(), "doc_id", "text").mapInArrow(_chunks, "k1 long, k2 long, doc_id long, start int, size int, h1 long, h2 long, again boolean")
+    # Chunks that a share of all rows may hold would meet in one task. A sample of documents finds them, for the balance
+    # of tasks alone: their counts combine before the shuffle and their rows stay where they are.
+    seen = materialize(chunked(base.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(SAMPLED)) == 0)).groupBy("h1", "h2").agg(F.count("*").alias("n")))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(materialize(seen.where(F.col("n") > max(20, total // HOT)).select("h1", "h2")))  # HOT rows at most
+    chunks = chunked(base)
     gone = F.col("again") | F.coalesce(F.col("doc_id") != F.col("first"), F.col("doc_id").isNull() & F.col("first").isNotNull())
-    repeats = chunks.join(firsts, ["h1", "h2"]).select("key", F.struct("start", "size", gone.alias("gone")).alias("chunk"))
-    found = repeats.groupBy("key").agg(F.collect_list("chunk").alias("found"))  # no more than a document has chunks
-    rows = base.withColumn("key", _key()).join(found, "key", "left").select("doc_id", "text", "found")
+    common = chunks.join(hot, ["h1", "h2"])
+    firsts = F.broadcast(materialize(common.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")))
+    repeats = common.join(firsts, ["h1", "h2"]).select("k1", "k2", "start", "size", gone.alias("gone"))
+    usual = chunks.join(hot, ["h1", "h2"], "left_anti").select("h1", "h2", "doc_id", "k1", "k2", "start", "size", "again")
+    usual = usual.repartition("h1", "h2").sortWithinPartitions("h1", "h2", F.col("doc_id").asc_nulls_last())
+    repeats = repeats.unionByName(usual.mapInArrow(_repeats, "k1 long, k2 long, start int, size int, gone boolean"))
+    found = materialize(repeats.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "size", "gone")).alias("found")))  # no more than a document has chunks
+    rows = looked_up(base.select("*", *_keys()), found, ["k1", "k2"]).select("doc_id", "text", "found")
     return rows.mapInArrow(_cut(min_run), "doc_id long, n_bytes long, n_repeated long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

@@ -163,6 +163,28 @@ def test_chunk_dedup_equals_plain_python(spark, min_run):
         assert (r.n_bytes, r.n_repeated, r.n_removed) == (len(t), sum(b - a for a, b in again), sum(b - a for a, b in gone))
 
 
+def test_hot_chunks_and_batches_give_the_same(spark, monkeypatch):
+    import pyarrow as pa
+
+    import kinfold.llm.chunkdedup as cd
+
+    docs = documents(spark).unionByName(documents(spark).limit(50)).unionByName(odd_docs(spark).select(*documents(spark).columns))
+    order = lambda df: sorted(map(str, df.collect()))
+    want = order(chunk_dedup(docs))
+    monkeypatch.setattr(cd, "SAMPLED", 1)
+    monkeypatch.setattr(cd, "HOT", 10**9)  # every chunk with more than 20 rows is hot
+    assert order(chunk_dedup(docs)) == want
+    rnd = random.Random(4)
+    rows = sorted(((rnd.randrange(5), 0, rnd.choice([None, 1, 2, 3]), k, k, k, 1, rnd.random() < 0.2) for k in range(200)), key=lambda r: (r[0], r[2] is None, r[2] or 0))
+    names = ["h1", "h2", "doc_id", "k1", "k2", "start", "size", "again"]
+    whole = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.bool_() if i == 7 else pa.int64()) for i in range(8)], names)
+    every = [x for b in cd._repeats(iter([whole])) for x in b.to_pylist()]
+    for n in (1, 3, 50):
+        assert [x for b in cd._repeats(whole.slice(a, n) for a in range(0, 200, n)) for x in b.to_pylist()] == every
+    lead = {h: next(r[2] for r in rows if r[0] == h) for h in range(5)}
+    assert [(r[3], r[7] or r[2] != lead[r[0]]) for r in rows] == [(x["k1"], x["gone"]) for x in every]
+
+
 def test_odd_chunk_rows(spark):
     got = chunk_dedup(odd_docs(spark)).collect()
     assert len(got) == 13 and sum(r.n_bytes == 0 and r.n_removed == 0 for r in got) == 4
