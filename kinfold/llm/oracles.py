@@ -33,3 +33,31 @@ m AS (SELECT a, min(c) AS component_id FROM r GROUP BY a),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v JOIN m ON v.vec_id = m.a LEFT JOIN n ON v.vec_id = n.a
 """
+
+#: Pages whose article is one element with paragraphs, headings, bold text and breaks.
+PAGES = r"""
+SELECT page_id, url, t AS text, length(t) AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'),
+    '</?b>', '', 'g'), '</?(p|h1|br)>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM pages)
+"""
+
+
+def _covered(n: int) -> str:
+    """CTE r<n>: maximal runs a to b of bytes that a string of ``n`` bytes covers which starts twice or more."""
+    window = f"substr(x, CAST(2 * i + 1 AS INTEGER), {2 * n})"
+    return f"""s{n} AS (SELECT rid, i FROM (SELECT rid, o + i AS i, count(*) OVER (PARTITION BY hash({window}), hash('x' || {window})) AS c FROM (SELECT rid, o, x, unnest(range(least(512, n_bytes - {n} + 1 - o))) AS i FROM b WHERE n_bytes - o >= {n})) WHERE c > 1),
+e{n} AS (SELECT rid, i, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -1000000) > {n} AS fresh FROM s{n}),
+r{n} AS (SELECT rid, min(i) AS a, max(i) + {n} AS b FROM (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) AS g FROM e{n}) GROUP BY rid, g)"""
+
+
+def repeats(length: int = 400, passage: int = 208) -> str:
+    """Every window of every text, as hexadecimal digits of its bytes; texts are cut into blocks of 512 windows."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+b AS (SELECT rid, n_bytes, o, substr(x, CAST(2 * o + 1 AS INTEGER), {2 * (512 + length)}) AS x FROM (SELECT rid, n_bytes, x, unnest(range(0, n_bytes, 512)) AS o FROM d)),
+{_covered(length)}, {_covered(passage)},
+k AS (SELECT rid, a, b, lead(a) OVER (PARTITION BY rid ORDER BY a) AS next, row_number() OVER (PARTITION BY rid ORDER BY a) AS nr FROM r{length}),
+t AS (SELECT k.rid, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(CASE WHEN nr = 1 THEN substr(x, 1, CAST(2 * a AS INTEGER)) ELSE '' END || substr(x, CAST(2 * b + 1 AS INTEGER), CAST(2 * (coalesce(next, n_bytes) - b) AS INTEGER)), '' ORDER BY a) AS rest FROM k JOIN d USING (rid) GROUP BY k.rid)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256, CAST(coalesce(p, 0) AS BIGINT) AS n_repeated
+FROM d LEFT JOIN t USING (rid) LEFT JOIN (SELECT rid, sum(b - a) AS p FROM r{passage} GROUP BY rid) USING (rid)
+"""

@@ -19,10 +19,12 @@ from kinfold.llm.sharding import shard_documents
 from kinfold.llm.simhash import simhash_groups
 from kinfold.llm.suffixdedup import suffix_dedup
 from kinfold.llm.toxicity import score_documents
+from kinfold.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; a table in few small files is dealt over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def model_path() -> str:
@@ -80,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": oracles.quality(), "op4_inverted_multi_index": oracles.EMBEDDINGS}
+    return {"op2_quality_rules": oracles.quality(), "op4_inverted_multi_index": oracles.EMBEDDINGS, "op6_site_template_removal": oracles.PAGES, "op7_suffix_dedup": oracles.repeats()}
