@@ -252,3 +252,20 @@ def test_pipeline_stages(spark, both):
     again = cp.run(spark, sf).collect()
     key = lambda r: (r.doc_id, r.ids_sha256)
     assert sorted(map(key, out)) == sorted(map(key, again))
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark):
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    odd = odd_docs(spark)
+    odd = odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("ids", "n_tokens", "fp", "shard", "host", "part", "key", "grp", "spans", "toxic", "n"))])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns and 0 < out.count() <= 3 * 13, name
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+    last = cp.STAGES[-1][1]
+    got = last(spark, odd, sf)
+    assert len(set(got.columns)) == len(got.columns) and got.count() == 13 and "text" not in got.columns
+    assert {r.n_tokens for r in got.where("size(ids) = 0").collect()} == {0} and last(spark, odd.limit(0), sf).count() == 0
