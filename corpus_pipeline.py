@@ -2,6 +2,10 @@
 
 Each stage takes the session, the documents that its predecessor kept and the folder of the tables, and returns a
 DataFrame; whoever runs the stages writes each result as Parquet and reads it again as the next one's documents.
+
+All but the last return the columns of the documents, whatever else these hold. Null and empty texts pass every filter but
+near-duplicates, where they are equal to each other; rows without an id or a source are documents like others; an empty
+table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ from kinfold.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples call toxic go."""
+    """Documents that the nearest labelled examples call toxic go; nothing is learned from the labels of held-out rows, and
+    without labels nothing goes."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with a similarity of 0.8 or more over five-word shingles stays."""
+    """One document of each group of texts with a similarity of 0.8 or more over five-word shingles stays: that of the
+    smallest id, ids that are null last; of equal rows one stays."""
     return near_dedup(docs, shingle=5, similarity=0.8)
 
 
@@ -34,7 +40,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources take them."""
+    """Documents as often as the target weights of their sources take them; equal rows share a draw, documents without
+    words stay once."""
     return mix_documents(docs)
 
 

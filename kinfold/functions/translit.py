@@ -93,11 +93,19 @@ def romanise(run: str) -> str:
             out.append(OTHER.get(at, ""))
     if open_vowel:
         out.append("a")
-    word = re.sub("[^a-z]", "", "".join(out))
-    word = re.sub("m(?=[^aeioupbm])", "n", word)  # a nasal takes the place of the next sound
-    if script < len(SILENT_FINAL) and re.search("[^aeiou]a$", word) and len(word) > 3 and not re.search("[^aeiou][ryv]a$", word):
-        word = word[:-1]
-    return word
+    return spoken("".join(out), script < len(SILENT_FINAL))
+
+
+def spoken(spelling: str, silent: bool) -> str:
+    """A romanised word as it sounds: a nasal takes the place of the sound behind it, and where ``silent``, a final vowel
+    of longer words falls away unless two consonants before it need one."""
+    word = [c for c in spelling if "a" <= c <= "z"]
+    for i, behind in enumerate(word[1:]):
+        if word[i] == "m" and behind not in "aeioupbm":
+            word[i] = "n"
+    if silent and len(word) > 3 and word[-1] == "a" and word[-2] not in "aeiou" and (word[-2] not in "ryv" or word[-3] in "aeiou"):
+        word.pop()
+    return "".join(word)
 
 
 _romanise = lru_cache(maxsize=100_000)(romanise)

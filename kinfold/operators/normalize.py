@@ -64,10 +64,15 @@ def canonical_legal(text: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(text, " "), lambda t: t != ""), lambda t: lookup(lx.LEGAL_FORMS, t)), " ")
 
 
+#: What counts as a web address, and what an ordinal is.
+DOMAIN = r"\b(?:www\.)?([a-z0-9-]+)\.(?:" + "|".join(re.escape(e) for e in lx.DOMAIN_ENDINGS) + r")\b"
+ORDINAL = r"\b([0-9]+)(?:st|nd|rd|th)\b"
+
+
 def name_text(text: Column) -> Column:
     """Name tokens joined by spaces: symbols to words, web addresses to their name, typing repaired, forms canonical."""
     text = F.replace(F.replace(text, F.lit("&"), F.lit(" and ")), F.lit("@"), F.lit(" at "))
-    text = F.regexp_replace(text, r"\b(?:www\.)?([a-z0-9-]+)\.(?:" + "|".join(re.escape(e) for e in lx.DOMAIN_ENDINGS) + r")\b", " $1 ")
+    text = F.regexp_replace(text, DOMAIN, " $1 ")
     found = F.transform(F.transform(tokens(text), repair_leet), lambda t: lookup(lx.SHARED_TOKENS, t))
     return canonical_legal(join_letters(F.array_join(found, " ")))
 
@@ -159,7 +164,7 @@ ADDRESS_WORDS = chained(lx.ADDRESS_ABBREVIATIONS, lx.SHARED_TOKENS, lx.CITY_ALIA
 
 def address_tokens(segment: Column) -> Column:
     """Tokens of a segment in one spelling, without labels of numbers and words that locate nothing."""
-    text = F.regexp_replace(segment, r"\b([0-9]+)(?:st|nd|rd|th)\b", "$1")
+    text = F.regexp_replace(segment, ORDINAL, "$1")
     text = F.regexp_replace(text, f"(?<![^ ])(?:{any_of(lx.NUMBER_MARKERS)} )+(?=[0-9])", "")
     kept = F.filter(F.split(text, " "), lambda t: (t != "") & ~t.isin(lx.ADDRESS_NOISE))
 

@@ -17,9 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+_folders: set[str] = set()
+
+
 def scratch_path(spark: SparkSession) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/kinfold-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. All paths of an application lie in one folder, which goes when it ends."""
+    folder = f"{shared_dir(spark)}/kinfold-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _folders.add(folder)
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

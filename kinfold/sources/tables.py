@@ -92,11 +92,12 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """``df`` in as many partitions as the session has cores, if its files split into fewer: a table in one small file
-    would else be one task's work. Large tables stay as their files split."""
-    least = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+def spread(df: DataFrame, per_core: int = 4 << 20) -> DataFrame:
+    """``df`` in as many partitions as the session has cores if, by its files' sizes, it has less than ``per_core`` bytes
+    for each: a table in one small file would else be one task's work. Larger tables stay as their files split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < per_core * cores else df
 
 
 def record_texts(records: DataFrame, name: str, address: str, ids: DataFrame | None = None) -> DataFrame:
