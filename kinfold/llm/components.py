@@ -2,7 +2,7 @@
 
 Every round maps each node to the smallest node next to it (nodes get random order by a hash, so that paths
 shrink by a constant factor) and keeps the edges between the images. The aggregates combine before the shuffle
-and joins have one row per node on one side, so a hub of any degree is never gathered in one task. When few
+and joins have one row per node on one side, so that adaptive execution may split the partition of a hub's edges. When few
 edges are left (``tail_edges``, a constant), one task finishes them with union-find.
 """
 

@@ -190,22 +190,28 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, target_recall:
     """Near-duplicate groups of ``vectors`` (vec_id, embedding, label): one row per input row with vec_id, n_links,
     component_id and kept (vec_id = component_id).
 
-    Only vectors with equal, non-null labels are compared. A vector that is null, empty, zero or of another length than
-    most, or that holds null or non-finite components, links with nothing; so does a null label. Equal vectors link with
-    each other; repeated rows are vectors of their own; a row without vec_id keeps null. Codebooks are learned from at
-    most ``max_sample`` vectors (smallest hash). An empty table gives no rows; extra columns are ignored."""
+    Only vectors with equal, non-null labels and of equal length are compared; each length has an index of its own, so
+    they should be few. A vector that is null, zero or of fewer than two components, or that holds null or non-finite
+    ones, links with nothing; so does a null label. Equal vectors link with each other; repeated rows are vectors of their own; a row
+    without vec_id keeps null. Codebooks are learned from at most ``max_sample`` vectors (smallest hash). An empty table
+    gives no rows; extra columns are ignored."""
     base = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     good = F.coalesce(F.col("label").isNotNull() & (F.size("vec") > 1) & finite, F.lit(False))
     rows = materialize(base.withColumn("good", good))
     usable = rows.where("good").withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
-    common = usable.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    alone = lambda r: r.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if common is None:
-        return alone(rows)
-    dim = common["dim"]
+    lengths = [r["dim"] for r in usable.select(F.size("vec").alias("dim")).distinct().orderBy("dim").collect()]
+    alone = rows.where(~F.col("good"))
+    out = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    for dim in lengths:
+        out = out.unionByName(_linked(usable.where(F.size("vec") == dim), dim, threshold, target_recall, max_sample, cell_rows, block))
+    return out
+
+
+def _linked(usable: DataFrame, dim: int, threshold: float, target_recall: float, max_sample: int, cell_rows: int, block: int) -> DataFrame:
+    """Groups of usable vectors (vec_id, vec, label) of one length."""
     of_class = F.xxhash64("label", "vec")
-    fit_rows = usable.where(F.size("vec") == dim).withColumn("cls", of_class)
+    fit_rows = usable.withColumn("cls", of_class)
     classes = materialize(fit_rows.groupBy("cls", "label", "vec").agg(F.count("*").alias("times"), F.min("vec_id").alias("first")))
     stats = classes.agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).first()
     sample = classes.select("vec").orderBy(F.xxhash64("cls", F.lit(5))).limit(max_sample).toArrow()["vec"].combine_chunks()
@@ -232,5 +238,4 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, target_recall:
     least = member.groupBy("part").agg(F.min("first").alias("least"))
     group = classes.select("cls", "times", "first").join(links.withColumnRenamed("a", "cls"), "cls", "left").join(member.join(least, "part").select("cls", "least"), "cls", "left")
     group = group.select("cls", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
-    linked = fit_rows.select("vec_id", "cls").join(group, "cls").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    return linked.unionByName(alone(rows.where(~F.col("good") | (F.size("vec") != dim))))
+    return fit_rows.select("vec_id", "cls").join(group, "cls").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

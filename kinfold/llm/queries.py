@@ -82,4 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": oracles.quality(), "op4_inverted_multi_index": oracles.EMBEDDINGS, "op6_site_template_removal": oracles.PAGES, "op7_suffix_dedup": oracles.repeats()}
+    return {
+        "op1_simhash_near_dedup": oracles.simhash(),
+        "op2_quality_rules": oracles.quality(),
+        "op4_inverted_multi_index": oracles.EMBEDDINGS,
+        "op5_minimax_sharding": oracles.shards(),
+        "op6_site_template_removal": oracles.PAGES,
+        "op7_suffix_dedup": oracles.repeats(),
+    }

@@ -10,7 +10,7 @@ def brute(rows, threshold=0.98):
     """(n_links, component_id) by comparing all pairs."""
     good = {}
     for k, (_, v, label, *_) in enumerate(rows):
-        if label is not None and v and None not in v and len(v) == 16 and np.isfinite(v).all() and np.any(v):
+        if label is not None and v and None not in v and len(v) > 1 and np.isfinite(v).all() and np.any(v):
             x = np.array(v, np.float32).astype(float)
             good[k] = x / np.linalg.norm(x)
     up = list(range(len(rows)))
@@ -23,7 +23,7 @@ def brute(rows, threshold=0.98):
     n = [0] * len(rows)
     for a in good:
         for b in good:
-            if a != b and rows[a][2] == rows[b][2] and good[a] @ good[b] >= threshold:
+            if a != b and rows[a][2] == rows[b][2] and len(good[a]) == len(good[b]) and good[a] @ good[b] >= threshold:
                 n[a] += 1
                 up[find(a)] = find(b)
     ids = {}
@@ -49,6 +49,7 @@ ODD = [
     (1000, None, 1, "x", 7), (1001, [], 1, "x", 7), (1002, [0.0] * 16, 1, "x", 7), (1003, [float("nan")] + [1.0] * 15, 1, "x", 7),
     (1004, [float("inf")] + [1.0] * 15, 1, "x", 7), (1005, [None] + [1.0] * 15, 1, "x", 7), (1006, [1.0] * 15, 1, "x", 7), (1007, [1.0] * 16, None, "x", 7),
     (1008, [1.0] * 16, 1, "x", 7), (1008, [1.0] * 16, 1, "x", 7), (None, [1.0] * 16, 1, "x", 7), (1009, [2.0] * 16, 1, "x", 7), (1010, [1e-30] * 16, 1, "x", 7), (1011, [1.0] * 16, 0, "x", 7),
+    (1012, [2.0] * 15, 1, "x", 7), (1013, [1.0], 1, "x", 7), (1014, [1.0], 1, "x", 7), (1015, [1.0, 2.0], 1, "x", 7), (1016, [2.0, 4.0], 1, "x", 7), (1017, [2.0, 1.0], 1, "x", 7),
 ]
 
 
