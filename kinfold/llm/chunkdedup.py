@@ -84,8 +84,9 @@ def _chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeats(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h1, h2, doc_id, k1, k2, start, size, again) sorted by the first three, null ids last, equal digests together:
-    those of digests that occur twice, with gone. Only the first row of the last digest is held."""
+    """Rows (h1, h2, doc_id, k1, k2, start, size, again, hot, first) sorted by the first three, null ids last: those of
+    digests that occur twice, with gone. Rows of a digest are together but for hot ones, which know the smallest id, first.
+    Only the first row of the last digest is held."""
     held: pa.RecordBatch | None = None
     told = False  # whether the held row has been given
     for part in parts:
@@ -97,13 +98,16 @@ def _repeats(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.insert((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]), 0, True))
         size = np.diff(np.append(first, len(h1)))
         lead = np.repeat(first, size)
-        gone = rows["again"].to_numpy() | (none != none[lead]) | ((doc != doc[lead]) & ~none)
-        stays = np.repeat(size, size) > 1
+        hot = rows["hot"].fill_null(False).to_numpy()
+        least = np.where(hot, rows["first"].fill_null(0).to_numpy(), doc[lead])
+        least_none = np.where(hot, rows["first"].is_null().to_numpy(), none[lead])
+        gone = rows["again"].to_numpy() | (none != least_none) | ((doc != least) & ~none)
+        stays = (np.repeat(size, size) > 1) | hot
         if held is not None and told:
             stays[0] = False
         out = rows.append_column("gone", pa.array(gone)).filter(pa.array(stays)).select(["k1", "k2", "start", "size", "gone"])
         yield from out.to_batches()
-        told = bool(size[-1] > 1) or (told and held is not None and len(first) == 1)
+        told = bool(size[-1] > 1 or hot[-1]) or (told and held is not None and len(first) == 1)
         held = rows.slice(int(first[-1]), 1).combine_chunks().to_batches()[0]
 
 
@@ -161,15 +165,15 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     # of tasks alone: their counts combine before the shuffle and their rows stay where they are.
     seen = materialize(chunked(base.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(SAMPLED)) == 0)).groupBy("h1", "h2").agg(F.count("*").alias("n")))
     total = seen.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(materialize(seen.where(F.col("n") > max(20, total // HOT)).select("h1", "h2")))  # HOT rows at most
+    hot = F.broadcast(materialize(seen.where(F.col("n") > max(20, total // HOT)).select("h1", "h2", F.lit(True).alias("hot"))))  # HOT rows at most
     chunks = chunked(base)
-    gone = F.col("again") | F.coalesce(F.col("doc_id") != F.col("first"), F.col("doc_id").isNull() & F.col("first").isNotNull())
-    common = chunks.join(hot, ["h1", "h2"])
-    firsts = F.broadcast(materialize(common.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")))
-    repeats = common.join(firsts, ["h1", "h2"]).select("k1", "k2", "start", "size", gone.alias("gone"))
-    usual = chunks.join(hot, ["h1", "h2"], "left_anti").select("h1", "h2", "doc_id", "k1", "k2", "start", "size", "again")
-    usual = usual.repartition("h1", "h2").sortWithinPartitions("h1", "h2", F.col("doc_id").asc_nulls_last())
-    repeats = repeats.unionByName(usual.mapInArrow(_repeats, "k1 long, k2 long, start int, size int, gone boolean"))
+    only = lambda c: F.when(F.col("hot"), F.col(c)).alias(c)  # noqa: E731  all other rows are one group
+    firsts = materialize(chunks.join(hot, ["h1", "h2"], "left").groupBy(only("h1"), only("h2")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
+    firsts = F.broadcast(firsts.where("h1 is not null and n > 1").select("h1", "h2", "first", F.lit(True).alias("hot")))
+    marked = chunks.join(firsts, ["h1", "h2"], "left").select("h1", "h2", "doc_id", "k1", "k2", "start", "size", "again", "hot", "first")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k1", "start"), F.lit(4096))).otherwise(-1)
+    dealt = marked.withColumn("salt", salt).repartition("h1", "h2", "salt").drop("salt").sortWithinPartitions("h1", "h2", F.col("doc_id").asc_nulls_last())
+    repeats = dealt.mapInArrow(_repeats, "k1 long, k2 long, start int, size int, gone boolean")
     found = materialize(repeats.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "size", "gone")).alias("found")))  # no more than a document has chunks
     rows = looked_up(base.select("*", *_keys()), found, ["k1", "k2"]).select("doc_id", "text", "found")
     return rows.mapInArrow(_cut(min_run), "doc_id long, n_bytes long, n_repeated long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

@@ -176,8 +176,9 @@ def test_hot_chunks_and_batches_give_the_same(spark, monkeypatch):
     assert order(chunk_dedup(docs)) == want
     rnd = random.Random(4)
     rows = sorted(((rnd.randrange(5), 0, rnd.choice([None, 1, 2, 3]), k, k, k, 1, rnd.random() < 0.2) for k in range(200)), key=lambda r: (r[0], r[2] is None, r[2] or 0))
-    names = ["h1", "h2", "doc_id", "k1", "k2", "start", "size", "again"]
-    whole = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.bool_() if i == 7 else pa.int64()) for i in range(8)], names)
+    names = ["h1", "h2", "doc_id", "k1", "k2", "start", "size", "again", "hot", "first"]
+    columns = [pa.array([r[i] for r in rows], pa.bool_() if i == 7 else pa.int64()) for i in range(8)]
+    whole = pa.RecordBatch.from_arrays([*columns, pa.nulls(200, pa.bool_()), pa.nulls(200, pa.int64())], names)
     every = [x for b in cd._repeats(iter([whole])) for x in b.to_pylist()]
     for n in (1, 3, 50):
         assert [x for b in cd._repeats(whole.slice(a, n) for a in range(0, 200, n)) for x in b.to_pylist()] == every
