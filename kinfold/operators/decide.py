@@ -41,10 +41,16 @@ def add_extra_scores(pairs: DataFrame, extra: Sequence[DataFrame], column: str =
     return pairs
 
 
-def require_scores(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairs of the queries for which no pair lacks one of the scores."""
+def require_scores(pairs: DataFrame, columns: Sequence[str], must: DataFrame | None = None) -> DataFrame:
+    """Pairs of the queries for which no pair lacks one of the scores. Queries of ``must`` (s1_id), those of a validation
+    split say, may not be among the dropped ones: that is an error."""
     lacks = F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0))
-    return pairs.withColumn("kf_any", F.max(lacks).over(Window.partitionBy("s1_id"))).where("kf_any = 0").drop("kf_any")
+    marked = pairs.withColumn("kf_any", F.max(lacks).over(Window.partitionBy("s1_id")))
+    if must is not None:
+        lost = marked.where("kf_any = 1").join(must.select("s1_id"), "s1_id", "left_semi").select("s1_id").distinct().count()
+        if lost:
+            raise ValueError(f"{lost} queries that must stay lack a score")
+    return marked.where("kf_any = 0").drop("kf_any")
 
 
 def merge_scores(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -144,8 +144,11 @@ def word_features(pairs: DataFrame, records: DataFrame, idf: DataFrame, default:
     df = pair_records(pairs.select("s1_id", "cand_id"), records)
     a, b = F.col("a.name_core"), F.col("b.name_core")
     df = df.select("s1_id", "cand_id", F.col("a.country_norm").alias("country_norm"), unmatched_tokens(a, b).alias("wa"), unmatched_tokens(b, a).alias("wb"))
-    each = df.select("s1_id", "cand_id", "country_norm", F.explode(F.concat(F.transform("wa", lambda t: F.struct(F.lit("a").alias("side"), t.alias("token"))), F.transform("wb", lambda t: F.struct(F.lit("b").alias("side"), t.alias("token"))))).alias("w"))
-    each = each.select("s1_id", "cand_id", "country_norm", "w.side", "w.token").join(idf, ["country_norm", "token"], "left").withColumn("idf", F.coalesce("idf", F.lit(default)))
+    words = F.concat(F.transform("wa", lambda t: F.struct(F.lit("a").alias("side"), t.alias("token"))), F.transform("wb", lambda t: F.struct(F.lit("b").alias("side"), t.alias("token"))))
+    each = df.select("s1_id", "cand_id", "country_norm", F.explode_outer(words).alias("w")).select("s1_id", "cand_id", "country_norm", "w.side", "w.token")
+    each = each.join(idf, ["country_norm", "token"], "left").withColumn("idf", F.when(F.col("token").isNotNull(), F.coalesce("idf", F.lit(default))))
     side = lambda s, c: F.when(F.col("side") == s, c)
-    sums = each.groupBy("s1_id", "cand_id").agg(F.count(side("a", F.lit(1))).alias("wd_n_a"), F.count(side("b", F.lit(1))).alias("wd_n_b"), F.max(side("a", F.col("idf"))).alias("wd_maxidf_a"), F.max(side("b", F.col("idf"))).alias("wd_maxidf_b"), F.sum("idf").alias("wd_sumidf"))
-    return df.select("s1_id", "cand_id").join(sums, ["s1_id", "cand_id"], "left").fillna(0)
+    most = lambda s: F.coalesce(F.max(side(s, F.col("idf"))), F.lit(0.0))
+    return each.groupBy("s1_id", "cand_id").agg(
+        F.count(side("a", F.lit(1))).alias("wd_n_a"), F.count(side("b", F.lit(1))).alias("wd_n_b"), most("a").alias("wd_maxidf_a"), most("b").alias("wd_maxidf_b"), F.coalesce(F.sum("idf"), F.lit(0.0)).alias("wd_sumidf")
+    )

@@ -96,7 +96,7 @@ def spread(df: DataFrame, per_core: int = 4 << 20) -> DataFrame:
     """``df`` in as many partitions as the session has cores if, by its files' sizes, it has less than ``per_core`` bytes
     for each: a table in one small file would else be one task's work. Larger tables stay as their files split."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < per_core * cores else df
 
 

@@ -58,6 +58,19 @@ def test_blocks(spark):
     assert found == {"q": {"a", "b", "c"}, "r": {"a", "b", "c", "d"}}
 
 
+def test_chunks_of_a_cell_give_the_same(spark, monkeypatch):
+    words = ["oak", "elm", "street", "road", "paris", "london", "town", "hill"]
+    text = lambda k: " ".join(words[(k * 7 + j * (k % 5 + 1)) % 8] for j in range(2 + k % 4))
+    pool, asks = ({f"{x}{k}": text(k + n) for k in range(60)} for x, n in (("p", 0), ("q", 3)))
+    path = rt.SearchPath("t", (rt.Field("text"),), 5)
+    found = lambda: sorted(map(tuple, rt.search(frame(spark, asks, "tx"), frame(spark, pool, "tx"), path, ("country_norm",), blocked=True).collect()))
+    want = found()
+    assert len(want) == 300
+    for name, n in (("POOL_ROWS", 7), ("QUERY_ROWS", 9), ("PRODUCTS", 40)):
+        monkeypatch.setattr(rt, name, n)
+    assert found() == want
+
+
 def test_trim_leaves_an_unlimited_path(spark):
     p = spark.createDataFrame([("s", "a", 9, 0), ("s", "b", 0, 9), ("s", "c", 0, 12)], "s1_id string, cand_id string, addr_rank int, both_rank int")
     assert {r.cand_id for r in rt.trim_candidates(p, 0, 10).collect()} == {"a", "b"}
@@ -76,6 +89,15 @@ def test_owners_ties_and_thresholds(spark):
     assert dc.decide(scored(spark), "p", 0.5, owner=False).count() == 4
 
 
+def test_required_scores(spark):
+    df = scored(spark).withColumn("ce0", F.when(F.col("cand_id") != "S2-c", F.col("p")))
+    assert {r.s1_id for r in dc.require_scores(df, ["ce0"]).collect()} == {"s1", "s3"}
+    ids = spark.createDataFrame([("s1",), ("s2",)], "s1_id string")
+    assert dc.require_scores(df, ["ce0"], ids.where("s1_id = 's1'")).count() == 3
+    with pytest.raises(ValueError):
+        dc.require_scores(df, ["ce0"], ids)
+
+
 def test_stress_copies(spark):
     extra = [r.cand_id for r in dc.stress_copy(scored(spark), ["p"], 3).collect() if "_dup" in r.cand_id]
     assert sorted(extra) == ["S2-a_dup0", "S2-a_dup1", "S3-b_dup0", "S3-b_dup1"]
@@ -133,13 +155,17 @@ def test_samples_contain_smaller_ones(spark):
     assert small < large and small | rest == large and not small & rest
 
 
-def test_two_stage_model_learns_and_is_deterministic(spark):
+def test_two_stage_model_learns_and_is_deterministic(spark, tmp_path):
     rows = [(f"s{i // 4}", f"S2-{i}", "S2", float(i % 10), float((i * 7) % 13), int(i % 10 > 5)) for i in range(400)]
     df = spark.createDataFrame(rows, "s1_id string, cand_id string, cand_source string, x double, y double, label int")
     m = md.train_matcher(df, ["x", "y"], folds=2, p=md.Boosting(rounds=4, depth=2, min_rows=5))
     got = m.predict(df).select("cand_id", "p", "label").collect()
     assert min(r.p for r in got if r.label) > max(r.p for r in got if not r.label)
     assert sum(v for _, v in m.importance()) == pytest.approx(1)
+    m.save(f"file://{tmp_path}/m", spark, 0.7)
+    again, threshold = md.Matcher.load(f"file://{tmp_path}/m", spark)
+    assert threshold == 0.7 and again.columns == ["x", "y"]
+    assert sorted(again.predict(df).select("cand_id", "p", "label").collect()) == sorted(got)
 
 
 def test_plans_have_no_cartesian_product(spark):
