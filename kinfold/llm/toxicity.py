@@ -5,7 +5,7 @@ documents, times its evidence: the lower end of the interval for the log ratio o
 0 if chance explains the ratio. Every term with evidence is in the vectors; without that factor a few telling words are
 lost among hundreds of rarer ones. Examples with equal vectors are one entry. The index keeps postings by term, cut into
 blocks of entries with the largest weight of each term in each block; a query visits blocks by falling upper bound and
-stops when no block can hold a nearer entry, so the nearest ones are exact. They vote with weights by distance, and the
+stops when no block can hold a nearer entry, so the nearest ones are exact; blocks are scored a few at a time. They vote with weights by distance, and the
 votes are calibrated by isotonic regression over leave-one-out votes of the sample. The model's size is bounded by its
 parameters; every document is scored on its whole text by a task that holds the model, without any shuffle.
 """
@@ -91,18 +91,19 @@ class Model:
     cache: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        n = len(self.entries)
+        n, terms = len(self.entries), len(self.vocabulary)
         self.blocks = -(-n // BLOCK)
-        listed: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        for e, (terms, counts) in enumerate(self.entries):
-            for t, w in zip(terms, self.weights(terms, counts)):
-                listed[t].append((e, w))
-        self.ids = [np.array([e for e, _ in p], np.int64) for p in listed]
-        self.w = [np.array([w for _, w in p]) for p in listed]
-        self.block_max = np.zeros((len(self.vocabulary), self.blocks))
-        for t, (ids, w) in enumerate(zip(self.ids, self.w)):
-            np.maximum.at(self.block_max[t], ids // BLOCK, w)
-        self.cuts = [np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK) for ids in self.ids]
+        size = np.array([len(e[0]) for e in self.entries], np.int64)
+        term = np.array([t for e in self.entries for t in e[0]], np.int64)
+        weight = np.concatenate([self.weights(*e) for e in self.entries]) if n else np.zeros(0)
+        entry = np.repeat(np.arange(n), size)
+        order = np.argsort(term, kind="stable")  # postings by term, entries ascending
+        self.ids, self.w = entry[order], weight[order]
+        cell = term[order] * self.blocks + self.ids // BLOCK
+        self.cuts = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)  # postings of each term and block
+        self.block_max = np.zeros(terms * self.blocks)
+        np.maximum.at(self.block_max, cell, self.w)
+        self.block_max = self.block_max.reshape(terms, self.blocks)
         self.words = Words(self.vocabulary)
 
     def state(self) -> tuple:
@@ -118,21 +119,27 @@ class Model:
 
     def nearest(self, terms: tuple[int, ...], counts: tuple[int, ...], skip: int = -1) -> list[tuple[float, int]]:
         """The k entries of largest cosine, ties by number: exact."""
-        q = self.weights(terms, counts)
-        bound = q @ self.block_max[list(terms)]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= self.k and bound[b] < best[self.k - 1][0] - 1e-9):
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(terms, q):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if lo < hi:
-                    score[self.ids[t][lo:hi] - b * BLOCK] += x * self.w[t][lo:hi]
-            best += [(float(score[i]), int(b * BLOCK + i)) for i in np.flatnonzero(score > 0) if b * BLOCK + i != skip]
-            best.sort(key=lambda x: (-round(x[0], 12), x[1]))
-            del best[self.k :]
-        return best
+        q, t = self.weights(terms, counts), np.array(terms)
+        bound = q @ self.block_max[t]
+        live = np.flatnonzero(bound > 0)
+        live = live[np.argsort(-bound[live], kind="stable")]
+        score, ids = np.zeros(0), np.zeros(0, np.int64)
+        at, step = 0, 4
+        while at < len(live) and (len(score) < self.k or bound[live[at]] >= score[self.k - 1] - 1e-9):
+            some = live[at : at + step]
+            cell = (t[:, None] * self.blocks + some[None]).ravel()
+            lo, size = self.cuts[cell], self.cuts[cell + 1] - self.cuts[cell]
+            spot = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            place = np.repeat(np.tile(np.arange(len(some)) * BLOCK, len(t)), size) + self.ids[spot] % BLOCK
+            found = np.bincount(place, np.repeat(np.repeat(q, len(some)), size) * self.w[spot], len(some) * BLOCK)
+            hit = np.flatnonzero(found > 0)
+            number = some[hit // BLOCK] * BLOCK + hit % BLOCK
+            keep = number != skip
+            score, ids = np.concatenate([score, found[hit][keep]]), np.concatenate([ids, number[keep]])
+            best = np.lexsort((ids, -score.round(12)))[: self.k]
+            score, ids = score[best], ids[best]
+            at, step = at + step, 2 * step
+        return list(zip(score.tolist(), ids.tolist()))
 
     def raw(self, found: list[tuple[float, int]], take_out: int = -1, label: int = 0) -> float:
         up, down = self.prior, 1.0
