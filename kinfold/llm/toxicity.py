@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import materialize, sliced
 
 TOKEN = re.compile(r"\w+")
-BLOCK = 32
+BLOCK, FIRST = 32, 16
+#: Entries whose votes calibrate the scores.
+CALIBRATED = 4000
 #: Odd factors that permute 64-bit hashes, one for each min-hash.
 MIXES = [np.uint64(xxhash.xxh64_intdigest(bytes([k]), 9) | 1) for k in range(6)]
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>"
@@ -124,21 +126,28 @@ class Model:
         live = np.flatnonzero(bound > 0)
         live = live[np.argsort(-bound[live], kind="stable")]
         score, ids = np.zeros(0), np.zeros(0, np.int64)
-        at, step = 0, 4
-        while at < len(live) and (len(score) < self.k or bound[live[at]] >= score[self.k - 1] - 1e-9):
-            some = live[at : at + step]
+        for some in (live[:FIRST], live[FIRST:]):
+            if len(score) >= self.k:  # blocks that may hold a nearer entry than the last one found
+                some = some[: np.searchsorted(-bound[some], 1e-9 - score[self.k - 1], "right")]
+            if not len(some):
+                break
             cell = (t[:, None] * self.blocks + some[None]).ravel()
-            lo, size = self.cuts[cell], self.cuts[cell + 1] - self.cuts[cell]
+            lo = self.cuts[cell]
+            size = self.cuts[cell + 1] - lo
+            filled = np.flatnonzero(size)
+            lo, size = lo[filled], size[filled]
+            term, block = np.divmod(filled, len(some))
             spot = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            place = np.repeat(np.tile(np.arange(len(some)) * BLOCK, len(t)), size) + self.ids[spot] % BLOCK
-            found = np.bincount(place, np.repeat(np.repeat(q, len(some)), size) * self.w[spot], len(some) * BLOCK)
-            hit = np.flatnonzero(found > 0)
+            found = np.bincount(np.repeat(block * BLOCK, size) + self.ids[spot] % BLOCK, np.repeat(q[term], size) * self.w[spot], len(some) * BLOCK)
+            if len(found) > 4 * self.k and (floor := np.partition(found, len(found) - 2 * self.k)[len(found) - 2 * self.k]) > 0:
+                hit = np.flatnonzero(found >= floor - 1e-9)
+            else:
+                hit = np.flatnonzero(found > 0)
             number = some[hit // BLOCK] * BLOCK + hit % BLOCK
             keep = number != skip
             score, ids = np.concatenate([score, found[hit][keep]]), np.concatenate([ids, number[keep]])
             best = np.lexsort((ids, -score.round(12)))[: self.k]
             score, ids = score[best], ids[best]
-            at, step = at + step, 2 * step
         return list(zip(score.tolist(), ids.tolist()))
 
     def raw(self, found: list[tuple[float, int]], take_out: int = -1, label: int = 0) -> float:
@@ -153,9 +162,11 @@ class Model:
         return float(up / down)
 
     def calibrate(self) -> None:
-        """Isotonic regression (pool adjacent violators) of labels on leave-one-out votes of every example."""
+        """Isotonic regression (pool adjacent violators) of labels on leave-one-out votes of CALIBRATED entries at most,
+        evenly over all."""
         points = [(self.prior, self.prior, 1.0)]
-        for e, (terms, counts) in enumerate(self.entries):
+        for e in range(0, len(self.entries), -(-len(self.entries) // CALIBRATED) or 1):
+            terms, counts = self.entries[e]
             found = self.nearest(terms, counts)
             for label in (0, 1):
                 if n := self.votes[e][0 if label else 1]:
@@ -221,7 +232,7 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray,
     return found[:-1], int(found[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, chance: float = 2.6, seed: int = 42) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20_000, chance: float = 3.0, seed: int = 42) -> Model:
     """Learn from at most ``max_examples`` labelled documents (smallest hash of the id) that aren't held out, one text for
     each id. A term's evidence is its log ratio less ``chance`` standard errors, counted without near copies (two or more
     of six min-hashes equal). A term with evidence is in several examples, so what reaches the driver is bounded by the
