@@ -45,7 +45,8 @@ SELECT page_id, url, t AS text, length(t) AS n_chars FROM (
 def _covered(n: int) -> str:
     """CTE r<n>: maximal runs a to b of bytes that a string of ``n`` bytes covers which starts twice or more."""
     window = f"substr(x, CAST(2 * i + 1 AS INTEGER), {2 * n})"
-    return f"""s{n} AS (SELECT rid, i FROM (SELECT rid, o + i AS i, count(*) OVER (PARTITION BY hash({window}), hash('x' || {window})) AS c FROM (SELECT rid, o, x, unnest(range(least(512, n_bytes - {n} + 1 - o))) AS i FROM b WHERE n_bytes - o >= {n})) WHERE c > 1),
+    return f"""h{n} AS (SELECT rid, o + i AS i, hash({window}) AS ha, hash('x' || {window}) AS hb FROM (SELECT rid, o, x, unnest(range(least(512, n_bytes - {n} + 1 - o))) AS i FROM b WHERE n_bytes - o >= {n})),
+s{n} AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY ha, hb) AS c FROM h{n}) WHERE c > 1),
 e{n} AS (SELECT rid, i, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -1000000) > {n} AS fresh FROM s{n}),
 r{n} AS (SELECT rid, min(i) AS a, max(i) + {n} AS b FROM (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) AS g FROM e{n}) GROUP BY rid, g)"""
 
