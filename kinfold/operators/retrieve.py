@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from kinfold.sources.storage import materialize
 
-#: Pool records and queries that meet in a task, and products of weights held at once; they bound its memory.
-POOL_ROWS, QUERY_ROWS, PRODUCTS = 16_384, 8_192, 1 << 22
+#: Pool records indexed at once, chunks of them and queries that meet in a task, and scores held at once; they bound its
+#: time and memory.
+POOL_ROWS, POOL_CHUNKS, QUERY_ROWS, PRODUCTS = 16_384, 4, 32_768, 1 << 20
+#: Terms that so many pairs of a query and a pool record share are scored by a matrix product, and as many terms at most.
+MATRIX, MATRIX_TERMS = 0.004, 512
 
 
 @dataclass(frozen=True)
@@ -105,96 +108,177 @@ def _vectors(postings_of: list[DataFrame], keys: Sequence[str]) -> DataFrame:
     return held.select(*keys, "entity_id", F.col("x.t").alias("terms"), F.col("x.w").alias("ws"))
 
 
-def _best(k: int, digits: int):
-    """Tasks get rows (cell, pc, qc, is_query, s1_id, cand_id, terms, ws), sorted by the first three; the k best pool records of
-    each query by rounded score, ties by id: (cell, s1_id, cand_id, score)."""
-
-    def flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        held = rows["terms"].combine_chunks()
-        size = np.diff(held.offsets.to_numpy())
-        return np.repeat(np.arange(len(size)), size), held.flatten().to_numpy(), rows["ws"].combine_chunks().flatten().to_numpy()
-
-    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        asks = rows["is_query"].to_numpy()
-        pool, queries = rows.filter(pa.array(~asks)), rows.filter(pa.array(asks))
-        n = pool.num_rows
-        if not n or not queries.num_rows:
+def _flat(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of every entry of the vectors of ``rows``."""
+    held = rows["terms"].combine_chunks()
+    size = np.diff(held.offsets.to_numpy())
+    return np.repeat(np.arange(len(size)), size), held.flatten().to_numpy(), rows["ws"].combine_chunks().flatten().to_numpy()
+
+
+def _spots(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``size`` places from ``begin`` on, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _firsts(q: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the first ``k`` of their query; ``q`` ascends."""
+    return np.arange(len(q)) - np.searchsorted(q, q) < k
+
+
+class _Asked:
+    """The queries of a task, and the best records for each among the pool chunks seen so far."""
+
+    def __init__(self, rows: pa.Table, k: int, digits: int):
+        self.k, self.digits, self.n = k, digits, rows.num_rows
+        self.cell, self.ids = rows["cell"][0], rows["s1_id"].combine_chunks()
+        self.row, self.term, self.w = _flat(rows)
+        self.names = np.zeros(0, object)  # ids of pool records, in order; best holds (query, place among them, score)
+        self.best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.zeros(self.n)  # what a record must reach: the score of the k-th best, if there are so many
+
+    def meet(self, pool: pa.Table) -> None:
+        """Score all queries against a chunk of the pool. Scores in single precision, with a margin for their error, tell
+        which pairs may be among the best; these are scored in double precision."""
+        n, k = pool.num_rows, self.k
+        p_row, p_term, p_w = _flat(pool)
+        if not len(p_term) or not len(self.term):
             return
-        names = np.array(pool["cand_id"].to_pylist(), object)
-        order = np.argsort(names, kind="stable")
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)  # pool records are numbered by id, so that ties need no names
-        row, term, w = flat(pool)
-        by_term = np.argsort(term, kind="stable")
-        posting, weight = place[row][by_term], w[by_term]
-        known, begin, df = np.unique(term[by_term], return_index=True, return_counts=True)
-        q_row, q_term, q_w = flat(queries)
-        at = np.minimum(np.searchsorted(known, q_term), len(known) - 1)
-        met = known[at] == q_term
-        q_row, at, q_w = q_row[met], at[met], q_w[met]
-        total = np.cumsum(df[at])
-        ids = np.array(queries["s1_id"].to_pylist(), object)
-        cell = rows["cell"][0].as_py()
+        known, p_at = np.unique(p_term, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, self.term), len(known) - 1)
+        met = known[at] == self.term
+        q_row, at, q_w = self.row[met], at[met], self.w[met]
+        df, asked = np.bincount(p_at, minlength=len(known)), np.bincount(at, minlength=len(known))
+        # a column of a matrix product costs as much as MATRIX products of weights for each pair
+        gain = df / n * asked / self.n
+        frequent = np.flatnonzero(gain > MATRIX)
+        frequent = frequent[np.argsort(-gain[frequent])][:MATRIX_TERMS]
+        column = np.full(len(known), -1)
+        column[frequent] = np.arange(len(frequent))
+        matrix = np.zeros((len(frequent), n), np.float32)
+        common = column[p_at] >= 0
+        matrix[column[p_at[common]], p_row[common]] = p_w[common]
+        by_term = np.flatnonzero(~common)
+        by_term = by_term[np.argsort(p_at[by_term], kind="stable")]
+        posting, weight = p_row[by_term], p_w[by_term].astype(np.float32)
+        df[frequent] = 0
+        begin = np.cumsum(df) - df
+        size = np.bincount(p_row, minlength=n)
+        start = np.cumsum(size) - size
+        norm = lambda row, w: np.sqrt(np.bincount(row, w * w).max())
+        margin = (len(frequent) + size.max() + 8) * 2.0**-23 * norm(p_row, p_w) * norm(self.row, self.w) + 10.0**-self.digits
+        products = np.cumsum(df[at])
+        block = max(1, PRODUCTS // max(n, len(known)))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         lo = 0
-        while lo < queries.num_rows:
+        while lo < self.n:
             first = np.searchsorted(q_row, lo)
-            done = total[first - 1] if first else 0
-            # queries whose products, and whose rows of scores, fit
-            stop = int(np.searchsorted(total, done + PRODUCTS, "right"))
-            hi = int(q_row[stop]) if stop < len(q_row) else queries.num_rows
-            hi = min(max(hi, lo + 1), lo + max(1, PRODUCTS // n), queries.num_rows)
+            # queries whose rows of scores, and whose products, fit
+            stop = int(np.searchsorted(products, (products[first - 1] if first else 0) + 4 * PRODUCTS, "right"))
+            hi = int(q_row[stop]) if stop < len(q_row) else self.n
+            hi = min(max(hi, lo + 1), lo + block, self.n)
             last = np.searchsorted(q_row, hi)
-            a, size = at[first:last], df[at[first:last]]
-            spot = np.repeat(begin[a] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            cells = np.repeat((q_row[first:last] - lo) * n, size) + posting[spot]
-            score = np.bincount(cells, np.repeat(q_w[first:last], size) * weight[spot], (hi - lo) * n).reshape(hi - lo, n).round(digits)
+            row, a, w = q_row[first:last] - lo, at[first:last], q_w[first:last]
+            dense = column[a] >= 0
+            left = np.zeros((hi - lo, len(frequent)), np.float32)
+            left[row[dense], column[a[dense]]] = w[dense]
+            score = left @ matrix
+            row_s, a_s, w_s = row[~dense], a[~dense], w[~dense].astype(np.float32)
+            spot = _spots(begin[a_s], df[a_s])
+            np.add.at(score.reshape(-1), np.repeat(row_s * n, df[a_s]) + posting[spot], np.repeat(w_s, df[a_s]) * weight[spot])
+            floor = self.floor[lo:hi] - margin
             if n > k:
-                floor = np.partition(score, n - k, axis=1)[:, n - k]
-                q, p = np.nonzero((score >= floor[:, None]) & (score > 0))
-            else:
-                q, p = np.nonzero(score > 0)
-            s = score[q, p]
-            rank = np.lexsort((p, -s, q))
-            q, p, s = q[rank], p[rank], s[rank]
-            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-            q, p, s = q[keep], p[keep], s[keep]
+                # the k-th of the maxima of parts of the chunk is no more than the k-th score
+                wide = max(1, n // (8 * k))
+                parts = n // wide
+                top = score[:, : wide * parts].reshape(hi - lo, wide, parts).max(axis=1)
+                floor = np.maximum(floor, np.partition(top, parts - k, axis=1)[:, parts - k] - 2 * margin)
+            near = score >= np.maximum(floor, np.finfo(np.float32).tiny).astype(np.float32)[:, None]
+            spot = np.flatnonzero(near)
+            q, p = spot // n, spot % n
             if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(q), pa.string()), pa.array(ids[lo + q], rows.schema.field("s1_id").type), pa.array(names[order][p], rows.schema.field("cand_id").type), pa.array(s)], ["cell", "s1_id", "cand_id", "score"])
+                exact = np.zeros((hi - lo, len(known)))
+                exact[row, a] = w
+                each = size[p]
+                spot = _spots(start[p], each)
+                s = np.add.reduceat(exact[np.repeat(q, each), p_at[spot]] * p_w[spot], np.cumsum(each) - each).round(self.digits)
+                keep = s > 0
+                found.append((q[keep] + lo, p[keep], s[keep]))
             lo = hi
+        if not found:
+            return
+        q, p, s = map(np.concatenate, zip(*found))
+        names = np.concatenate([self.names, np.array(pool["cand_id"].to_pylist(), object)])
+        order = np.argsort(names, kind="stable")
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        q = np.concatenate([self.best[0], q])
+        p = place[np.concatenate([self.best[1], p + len(self.names)])]
+        s = np.concatenate([self.best[2], s])
+        rank = np.lexsort((p, -s, q))
+        rank = rank[_firsts(q[rank], k)]
+        self.names, self.best = names[order], (q[rank], p[rank], s[rank])
+        full = np.flatnonzero(np.bincount(self.best[0], minlength=self.n) == k)
+        self.floor[full] = self.best[2][np.searchsorted(self.best[0], full, "right") - 1]
+
+    def result(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(self.best[0]), 1 << 17):
+            q, p, s = (x[lo : lo + (1 << 17)] for x in self.best)
+            yield pa.RecordBatch.from_arrays([pa.repeat(self.cell, len(q)), self.ids.take(pa.array(q)), pa.array(self.names[p], kind), pa.array(s)], ["cell", "s1_id", "cand_id", "score"])
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _best(k: int, digits: int):
+    """Tasks get rows (cell, pg, qc, pc, s1_id, cand_id, terms, ws), sorted by the first four: for each of the first three its
+    queries, whose pc is -1, and then the pool chunk by chunk. They give the k best pool records of each query by rounded
+    score, ties by id: (cell, s1_id, cand_id, score)."""
+
+    def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
         held: list[pa.RecordBatch] = []
         last = None
         for part in parts:
-            task = list(zip(*(part.column(c).to_pylist() for c in range(3))))
+            task = list(zip(*(part.column(c).to_pylist() for c in range(4))))
             lo = 0
             while lo < len(task):
-                hi = lo
+                hi = lo + 1
                 while hi < len(task) and task[hi] == task[lo]:
                     hi += 1
                 if held and task[lo] != last:
-                    yield from solve(pa.Table.from_batches(held))
+                    yield last, pa.Table.from_batches(held)
                     held = []
                 held.append(part.slice(lo, hi - lo))
                 last, lo = task[lo], hi
         if held:
-            yield from solve(pa.Table.from_batches(held))
+            yield last, pa.Table.from_batches(held)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, asked, kind = None, None, None
+        for (*key, pc), rows in chunks(parts):
+            if asked and key != task:
+                yield from asked.result(kind)
+                asked = None
+            if pc < 0:
+                task, asked, kind = key, _Asked(rows, k, digits), rows.schema.field("cand_id").type
+            elif asked:
+                asked.meet(rows)
+        if asked:
+            yield from asked.result(kind)
 
     return run
 
 
 def _tasks(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Rows (cell, pc, qc, is_query, s1_id, cand_id, terms, ws) of ``queries`` and ``pool`` (cell, entity_id, terms, ws): every
-    chunk of a cell's queries with every chunk of its pool, equal tasks together and sorted."""
+    """Rows (cell, pg, qc, pc, s1_id, cand_id, terms, ws) of ``queries`` and ``pool`` (cell, entity_id, terms, ws): every
+    chunk of a cell's queries with every chunk of its pool, POOL_CHUNKS at a time; equal tasks together and sorted."""
     chunks = lambda df, n, name: df.groupBy("cell").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
     cells = chunks(queries, QUERY_ROWS, "qn").join(chunks(pool, POOL_ROWS, "pn"), "cell")  # a cell of one side has no pairs
     draw = lambda n: F.pmod(F.xxhash64("entity_id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = F.col("entity_id")
     no = lambda df: F.lit(None).cast(df.schema["entity_id"].dataType)
-    asks = queries.join(cells, "cell").select("cell", each("pn").alias("pc"), draw("qn").alias("qc"), F.lit(True).alias("is_query"), own.alias("s1_id"), no(pool).alias("cand_id"), "terms", "ws")
-    holds = pool.join(cells, "cell").select("cell", draw("pn").alias("pc"), each("qn").alias("qc"), F.lit(False).alias("is_query"), no(queries).alias("s1_id"), own.alias("cand_id"), "terms", "ws")
-    return asks.unionByName(holds).repartition("cell", "pc", "qc").sortWithinPartitions("cell", "pc", "qc")
+    groups = F.ceil(F.col("pn") / POOL_CHUNKS).cast("int")
+    asks = queries.join(cells, "cell").select("cell", each(groups).alias("pg"), draw("qn").alias("qc"), F.lit(-1).alias("pc"), own.alias("s1_id"), no(pool).alias("cand_id"), "terms", "ws")
+    dealt = pool.join(cells, "cell").withColumn("pc", draw("pn"))
+    holds = dealt.select("cell", F.floor(F.col("pc") / POOL_CHUNKS).cast("int").alias("pg"), each(F.col("qn")).alias("qc"), "pc", no(queries).alias("s1_id"), own.alias("cand_id"), "terms", "ws")
+    return asks.unionByName(holds).repartition("cell", "pg", "qc").sortWithinPartitions("cell", "pg", "qc", "pc")
 
 
 def search(

@@ -1,8 +1,11 @@
 """Retrieval, features, decisions and metrics on small inputs, against plain Python."""
 
 import math
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +74,42 @@ def test_chunks_of_a_cell_give_the_same(spark, monkeypatch):
     assert found() == want
 
 
+def vectors(n, seed, shared=60, rare=3000):
+    """Unit vectors that all share ``shared`` terms and have three rare ones, some records twice, as a task gets them."""
+    r = np.random.default_rng(seed)
+    terms = np.hstack([np.tile(np.arange(shared), (n, 1)), shared + 3 * r.integers(0, rare // 3, (n, 3)) + np.arange(3)])
+    w = np.hstack([r.integers(1, 3, (n, shared)), r.integers(2, 9, (n, 3))]).astype(float)
+    copies = n // 10
+    terms[:copies], w[:copies] = terms[copies : 2 * copies], w[copies : 2 * copies]
+    w /= np.sqrt((w * w).sum(axis=1, keepdims=True))
+    lists = lambda x, kind: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel(), kind))
+    ids = pa.array([f"r{k * 7919 % n}" for k in range(n)])
+    table = pa.table({"cell": pa.repeat("c", n), "s1_id": ids, "cand_id": ids, "terms": lists(terms, pa.int64()), "ws": lists(w, pa.float64())})
+    full = np.zeros((n, shared + rare))
+    np.put_along_axis(full, terms, w, 1)
+    return table, full, ids.to_pylist()
+
+
+def test_terms_that_all_records_share_cost_no_product_for_each_pair():
+    """2,048 queries and two chunks of 8,192 records: two billion products of weights, a minute's work one by one."""
+    k = 20
+    queries, q, asked = vectors(2048, 0)
+    pools = [vectors(8192, seed) for seed in (1, 2)]
+    began = time.process_time()
+    task = rt._Asked(queries, k, 9)
+    for n, (pool, _, ids) in enumerate(pools):
+        task.meet(pool.set_column(2, "cand_id", pa.array([f"{x}-{n}" for x in ids])))
+    took = time.process_time() - began
+    got = defaultdict(list)
+    for r in pa.Table.from_batches(task.result(pa.string())).to_pylist():
+        got[r["s1_id"]].append((r["cand_id"], r["score"]))
+    names = [f"{x}-{n}" for n, (_, _, ids) in enumerate(pools) for x in ids]
+    for i in range(0, 2048, 97):
+        score = np.concatenate([p @ q[i] for _, p, _ in pools]).round(9)
+        assert got[asked[i]] == sorted(zip(names, score.tolist()), key=lambda x: (-x[1], x[0]))[:k]
+    assert len(got) == 2048 and took < 10
+
+
 def test_trim_leaves_an_unlimited_path(spark):
     p = spark.createDataFrame([("s", "a", 9, 0), ("s", "b", 0, 9), ("s", "c", 0, 12)], "s1_id string, cand_id string, addr_rank int, both_rank int")
     assert {r.cand_id for r in rt.trim_candidates(p, 0, 10).collect()} == {"a", "b"}
