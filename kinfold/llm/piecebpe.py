@@ -25,7 +25,7 @@ from kinfold.llm.common import release_memory, sliced
 MARK = "▁"  # stands for a space in pieces
 #: Segments of up to CACHE_LETTERS letters kept with their ids in each Python worker, twice at most; speed alone
 #: depends on it.
-CACHE_WORDS, CACHE_LETTERS = 250_000, 64
+CACHE_WORDS, CACHE_LETTERS = 100_000, 64
 #: Letters of a segment that the automaton looks at together.
 SPAN = 4096
 
@@ -52,9 +52,7 @@ class PieceBPE:
         self.segment = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + f"|{stop}" * bool(stop))
         self.listed: dict[str, str] = {}
         self.old: dict[str, str] = {}
-        self.first_plain = min(plain)
-        self.told: dict[str, str] = {}
-        self.old_told: dict[str, str] = {}
+        self.text_of = {str(i): self.pieces[i].replace(MARK, " ") for i in plain}
         self.known: dict[int, bool] = {}
         # Only pieces that their own text encodes to can be in a result; the automaton holds these.
         self.auto = ahocorasick.Automaton()
@@ -189,27 +187,21 @@ class PieceBPE:
 
     def tell(self, listed: str) -> str:
         """The text that the ids of a segment decode to, a leading space included."""
-        out = self.old_told.get(listed)
-        if out is None:
-            ids = list(map(int, listed.split(",")))
-            if min(ids) >= self.first_plain:
-                out = "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")
-            else:
-                out = self.decode([self.id_of[MARK], *ids])  # a mark ahead is what decoding drops
-        if len(listed) <= 4 * CACHE_LETTERS:
-            self.told[listed] = out
-        return out
+        try:
+            return "".join(map(self.text_of.__getitem__, listed.split(",")))
+        except KeyError:
+            return self.decode([self.id_of[MARK], *map(int, listed.split(","))])  # a mark ahead is what decoding drops
 
     def forget(self) -> None:
         """Drop the tables of words and neighbours."""
-        self.old, self.old_told, self.listed, self.told, self.known = {}, {}, {}, {}, {}
+        self.old, self.listed, self.known = {}, {}, {}
 
     def turn(self) -> None:
         """A full table becomes the old one, from which words that come again are taken over."""
         if len(self.known) >= 2 * CACHE_WORDS:
             self.known.clear()
-        if len(self.listed) >= CACHE_WORDS or len(self.told) >= 2 * CACHE_WORDS:
-            self.old, self.old_told, self.listed, self.told = self.listed, self.told, {}, {}
+        if len(self.listed) >= CACHE_WORDS:
+            self.old, self.listed = self.listed, {}
 
     def digests(self, text: str | None) -> tuple[int, str, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text that these ids decode to, and the
@@ -218,8 +210,10 @@ class PieceBPE:
         known, add = self.listed.get, self.list_ids
         parts = [known(s) or add(s) for s in self.segments(text or "")]
         listed = ",".join(parts)
-        told, tell = self.told.get, self.tell
-        decoded = "".join([told(x) or tell(x) for x in parts])
+        try:
+            decoded = "".join(map(self.text_of.__getitem__, listed.split(","))) if listed else ""
+        except KeyError:  # ids other than pieces of text
+            decoded = "".join(map(self.tell, parts))
         decoded = decoded[decoded.startswith(" ") :].encode("utf-8", "surrogatepass")
         return listed.count(",") + 1 if listed else 0, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), listed
 

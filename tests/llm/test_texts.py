@@ -12,6 +12,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import kinfold.llm.piecebpe as pb
 from kinfold.llm.htmltext import candidates, extract_pages, main_text, parse
 from kinfold.llm.piecebpe import PieceBPE, token_digests
 from kinfold.llm.queries import model_path
@@ -225,6 +226,18 @@ def test_word_tables_are_bounded(both, monkeypatch):
     assert all(len(s) <= pb.CACHE_LETTERS for s in mine.listed)
 
 
+def test_words_are_kept_once(both, monkeypatch):
+    """Two tables of ids by word at most: workers of two cores share an executor's memory with its JVM."""
+    monkeypatch.setattr(pb, "CACHE_WORDS", 50)
+    mine = PieceBPE(model_path())
+    held = lambda: sum(len(x) for k, x in vars(mine).items() if isinstance(x, dict) and k != "known")
+    before = held()
+    for k in range(300):
+        text = f"word{k * 7919} \U0001f98a{k}"
+        assert mine.digests(text)[:3] == digests(both[1], text)
+    assert held() - before <= 102
+
+
 def test_token_digests(spark, both):
     for docs in (documents(spark, "sf0.01"), odd_docs(spark)):
         got = token_digests(docs, model_path(), with_ids=True).collect()
