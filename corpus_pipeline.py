@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm.common import materialize
+from kinfold.llm.common import materialize, small_batches
 from kinfold.llm.mixing import mix_documents
 from kinfold.llm.piecebpe import token_digests
 from kinfold.llm.queries import model_path, table
@@ -24,18 +24,21 @@ from kinfold.llm.toxicity import drop_toxic
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go; nothing is learned from the labels of held-out rows, and
     without labels nothing goes."""
+    small_batches(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a similarity of 0.8 or more over five-word shingles stays: that of the
     smallest id, ids that are null last; of equal rows one stays."""
+    small_batches(spark)
     return near_dedup(docs, shingle=5, similarity=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere are cut out: strings of 208 bytes, some 35 words, as a passage of 50 words seldom
     reaches the 400 bytes of op7's contract. Documents of nothing else go; null texts stay null."""
+    small_batches(spark)
     return remove_repeats(docs, length=208)
 
 

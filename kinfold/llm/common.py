@@ -6,12 +6,12 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.sources.storage import materialize, shared_dir
 
-__all__ = ["SPACE", "let", "looked_up", "materialize", "only_keys", "shared_dir", "sliced", "words"]
+__all__ = ["SPACE", "let", "looked_up", "materialize", "only_keys", "shared_dir", "sliced", "small_batches", "words"]
 
 #: ASCII white space that separates words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -19,6 +19,10 @@ SPACE = r"\x20\x09-\x0D"
 #: Rows of a key table that may be broadcast (some 32 MB); larger tables are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of an Arrow batch that goes to Python. Spark's 64 MB are held several times over: buffers of the JVM that grow by
+#: doubling, which its allocator keeps afterwards, and the worker's copy.
+BATCH_BYTES = 4 << 20
+
 
 def only_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` whose key ``on`` is in ``keys``. A small table of keys filters in place, so that texts which a following
@@ -47,6 +51,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python hold BATCH_BYTES and a row at most, in this session; a smaller limit stays. Results
+    don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def release_memory() -> None:
     """Give free memory back to the system: a Python worker lives on, idle, while other stages run."""
     pa.default_memory_pool().release_unused()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import release_memory, sliced
+from kinfold.llm.common import release_memory, sliced, small_batches
 
 MARK = "▁"  # stands for a space in pieces
 #: Segments of up to CACHE_LETTERS letters kept with their ids in each Python worker, twice at most; speed alone
@@ -277,6 +277,7 @@ def token_digests(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id"
     can open (the package of tokenizer files is installed there). With ``forget`` a task drops its word tables at its
     end: slower, for workers that go on to other stages. Rows stay in place: no shuffle, repeated rows and
     empty tables need nothing special, extra columns are left out unless kept."""
+    small_batches(docs.sparkSession)
     source = docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("kf_text"))
     extra = "ids array<int>, " if with_ids else ""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])

@@ -246,6 +246,34 @@ def test_token_digests(spark, both):
     assert token_digests(odd_docs(spark).limit(0), model_path()).count() == 0
 
 
+def test_batches_of_texts_are_small(spark):
+    import corpus_pipeline as cp
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "repeat('x', 100000) AS text", "'en' AS lang", "'a' AS source", "100000L AS n_chars")
+
+    def largest():
+        def size(parts):
+            for p in parts:
+                yield p.from_pydict({"n": [p.nbytes]})
+
+        return wide.select("text").mapInArrow(size, "n long").agg({"n": "max"}).first()[0]
+
+    spark.conf.unset(key)
+    assert largest() > 15 << 20
+    try:
+        for name, stage in cp.STAGES:
+            if name != "source_mix":
+                spark.conf.unset(key)
+                stage(spark, wide.limit(2), "/root/testdata/sf0.001")
+                assert largest() < 5 << 20, name
+        spark.conf.set(key, "1m")
+        token_digests(wide, model_path())
+        assert largest() < 2 << 20  # a smaller limit stays
+    finally:
+        spark.conf.unset(key)
+
+
 # ---- pipeline ----------------------------------------------------------------------------------------------------
 
 
