@@ -10,6 +10,7 @@ keys, never a theta join.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -125,6 +126,18 @@ def _firsts(q: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(q)) - np.searchsorted(q, q) < k
 
 
+def _merged(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``columns`` the group of rows that are multiples of each other (to nine digits), and its factor to the
+    first of them. Terms that always come together, like the grams of a word, are such rows: one of them tells all."""
+    group, factor = np.zeros(len(columns), np.int64), np.ones(len(columns))
+    known: dict[bytes, int] = {}
+    for i, x in enumerate(columns):
+        factor[i] = x[np.argmax(x != 0)]
+        group[i] = known.setdefault(hashlib.blake2b((x / factor[i]).round(9).tobytes(), digest_size=16).digest(), len(known))
+    first = np.unique(group, return_index=True)[1]
+    return group, factor / factor[first][group]
+
+
 class _Asked:
     """The queries of a task, and the best records for each among the pool chunks seen so far."""
 
@@ -154,9 +167,11 @@ class _Asked:
         frequent = frequent[np.argsort(-gain[frequent])][:MATRIX_TERMS]
         column = np.full(len(known), -1)
         column[frequent] = np.arange(len(frequent))
-        matrix = np.zeros((len(frequent), n), np.float32)
+        matrix = np.zeros((len(frequent), n))
         common = column[p_at] >= 0
         matrix[column[p_at[common]], p_row[common]] = p_w[common]
+        group, factor = _merged(matrix)
+        matrix = matrix[np.unique(group, return_index=True)[1]].astype(np.float32)
         by_term = np.flatnonzero(~common)
         by_term = by_term[np.argsort(p_at[by_term], kind="stable")]
         posting, weight = p_row[by_term], p_w[by_term].astype(np.float32)
@@ -179,15 +194,15 @@ class _Asked:
             last = np.searchsorted(q_row, hi)
             row, a, w = q_row[first:last] - lo, at[first:last], q_w[first:last]
             dense = column[a] >= 0
-            left = np.zeros((hi - lo, len(frequent)), np.float32)
-            left[row[dense], column[a[dense]]] = w[dense]
-            score = left @ matrix
+            c = column[a[dense]]
+            left = np.bincount(row[dense] * len(matrix) + group[c], w[dense] * factor[c], (hi - lo) * len(matrix))
+            score = left.astype(np.float32).reshape(hi - lo, len(matrix)) @ matrix
             row_s, a_s, w_s = row[~dense], a[~dense], w[~dense].astype(np.float32)
             spot = _spots(begin[a_s], df[a_s])
             np.add.at(score.reshape(-1), np.repeat(row_s * n, df[a_s]) + posting[spot], np.repeat(w_s, df[a_s]) * weight[spot])
             floor = self.floor[lo:hi] - margin
-            if n > k:
-                # the k-th of the maxima of parts of the chunk is no more than the k-th score
+            if n > k and not self.floor[lo:hi].all():
+                # no k-th score of earlier chunks: the k-th of the maxima of parts of the chunk is no more than the k-th score
                 wide = max(1, n // (8 * k))
                 parts = n // wide
                 top = score[:, : wide * parts].reshape(hi - lo, wide, parts).max(axis=1)

@@ -110,6 +110,38 @@ def test_terms_that_all_records_share_cost_no_product_for_each_pair():
     assert len(got) == 2048 and took < 10
 
 
+def test_terms_that_come_together_share_a_column(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = []
+    merged = rt._merged
+    monkeypatch.setattr(rt, "_merged", lambda c: (out := merged(c), sizes.append((len(c), len(set(out[0])))))[0])
+
+    def vectors(n, k):  # 8 words of 12 grams each, half of them in a record, and one term of its own in 500
+        has = rng.random((n, 8)) < 0.5
+        has[:, 0] = True
+        dense = np.hstack([np.repeat(has, 12, axis=1) * np.tile(np.linspace(1, 2, 12), 8), np.eye(500)[rng.integers(0, 500, n)] * 3])
+        dense /= np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+        where = [np.flatnonzero(x) for x in dense]
+        ids = [f"{k}{i:05}" for i in range(n)]
+        return pa.table({"cell": ["c"] * n, "s1_id": ids, "cand_id": ids, "terms": where, "ws": [x[w] for x, w in zip(dense, where)]}), dense, ids
+
+    queries, q, asked = vectors(300, "q")
+    pools = [vectors(2000, k) for k in "ab"]
+    task = rt._Asked(queries, 5, 9)
+    for pool, _, _ in pools:
+        task.meet(pool)
+    got = defaultdict(list)
+    for r in pa.Table.from_batches(task.result(pa.string())).to_pylist():
+        got[r["s1_id"]].append((r["cand_id"], r["score"]))
+    names = [x for _, _, ids in pools for x in ids]
+    for i in range(300):
+        score = np.concatenate([p @ q[i] for _, p, _ in pools])
+        want = sorted(zip(names, score.round(9).tolist()), key=lambda x: (-x[1], x[0]))[:5]
+        assert [c for c, _ in got[asked[i]]] == [c for c, _ in want]
+        assert [s for _, s in got[asked[i]]] == pytest.approx([s for _, s in want], abs=2e-9)
+    assert all(terms >= 96 and columns <= terms - 88 for terms, columns in sizes) and len(sizes) == 2
+
+
 def test_trim_leaves_an_unlimited_path(spark):
     p = spark.createDataFrame([("s", "a", 9, 0), ("s", "b", 0, 9), ("s", "c", 0, 12)], "s1_id string, cand_id string, addr_rank int, both_rank int")
     assert {r.cand_id for r in rt.trim_candidates(p, 0, 10).collect()} == {"a", "b"}
