@@ -268,7 +268,7 @@ def test_batches_of_texts_are_small(spark):
                 stage(spark, wide.limit(2), "/root/testdata/sf0.001")
                 assert largest() < 5 << 20, name
         spark.conf.set(key, "1m")
-        token_digests(wide, model_path())
+        cp.token_ids(spark, wide, "/root/testdata/sf0.001")
         assert largest() < 2 << 20  # a smaller limit stays
     finally:
         spark.conf.unset(key)
