@@ -2,8 +2,8 @@
 
 The pieces of a model go into an Aho-Corasick automaton. A segment of text is covered from left to right with the
 longest piece that fits; neighbours must be compatible, that is, merging their joined text again must give the same
-two pieces. If no piece fits, the last one is taken back for the next shorter one. A bit field keeps positions from
-which no continuation was found, so none is tried again in vain.
+two pieces. If no piece fits, the last one is taken back for the next shorter one. A byte for each position keeps those
+from which no continuation was found, so none is tried again in vain.
 """
 
 from __future__ import annotations
@@ -52,7 +52,11 @@ class PieceBPE:
         self.segment = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + f"|{stop}" * bool(stop))
         self.listed: dict[str, str] = {}
         self.old: dict[str, str] = {}
-        self.text_of = {str(i): self.pieces[i].replace(MARK, " ") for i in plain}
+        # What an id decodes to wherever it stands. A byte below 128 is a character of its own in any run of bytes (a line
+        # end is one); the others need their neighbours.
+        self.text_of = {str(i): self.pieces[i].replace(MARK, " ") for i in plain} | {str(i): chr(b) for i, b in self.byte_of.items() if b < 128}
+        self.texts = pa.array([self.text_of.get(str(i)) for i in range(len(self.pieces))], pa.large_string())
+        self.name = [str(i) for i in range(len(self.pieces))]
         self.known: dict[int, bool] = {}
         # Only pieces that their own text encodes to can be in a result; the automaton holds these.
         self.auto = ahocorasick.Automaton()
@@ -108,7 +112,8 @@ class PieceBPE:
         with nothing."""
         n = len(text)
         known, compatible, shorter, length, auto = self.known, self._compatible, self.shorter, self.length, self.auto
-        failed = bytearray((n >> 3) + 1)  # bit i: no way on from position i
+        fitting = known.get
+        failed = bytearray(n + 1)  # 1: no way on from here
         path: list[int] = []
         at, before = 0, -1
         matches = None  # longest matches from here on, as long as they are followed
@@ -117,12 +122,13 @@ class PieceBPE:
             if at >= edge or at < base:  # a long segment is looked at part by part; a match ends inside its part
                 base, view, matches = at, text[at : at + SPAN], None
                 edge = n if at + SPAN >= n else at + SPAN - self.longest
-            matches = matches or auto.iter_long(view, at - base)
+            if matches is None:
+                matches = auto.iter_long(view, at - base)
             last, piece = next(matches, (-1, -1))
             longest = piece
             if piece < 0 or base + last + 1 - length[piece] != at:
                 matches = None
-                if not failed[at + 1 >> 3] >> (at + 1 & 7) & 1:
+                if not failed[at + 1]:
                     path.append(-1)
                     at, before = at + 1, -1
                     continue
@@ -130,10 +136,10 @@ class PieceBPE:
             while True:
                 while piece >= 0:
                     end = at + length[piece]
-                    if not failed[end >> 3] >> (end & 7) & 1:
+                    if not failed[end]:
                         if before < 0:
                             break
-                        fits = known.get(before << 16 | piece)
+                        fits = fitting(before << 16 | piece)
                         if fits or (fits is None and compatible(before, piece)):
                             break
                     piece = shorter[piece]
@@ -141,7 +147,7 @@ class PieceBPE:
                     break
                 # The failure depends on the piece before; the position is closed for good as an encoding of a
                 # prefix is unique: no other path that can succeed leads here.
-                failed[at >> 3] |= 1 << (at & 7)
+                failed[at] = 1
                 if not path:
                     return [self.id_of.get(p, -1) for p in self.merge(text)]
                 piece = path.pop()
@@ -150,21 +156,21 @@ class PieceBPE:
                 piece = shorter[piece] if piece >= 0 else -1
                 longest = -2  # whatever comes now, the matches ahead are others
             path.append(piece)
-            at += length[piece]
+            at = end
             before = piece
             if piece != longest:
                 matches = None
         return path
 
-    def _encode_segment(self, segment: str) -> tuple[int, ...]:
+    def _encode_segment(self, segment: str) -> list[int]:
         """Ids of a segment without a space inside. Pieces of spaces alone share one score, so that the order of their
         merges isn't fixed by neighbours: segments led by several spaces are merged plainly."""
         if segment.startswith(MARK * 2):
             found = [self.id_of.get(p, -1) for p in self.merge(segment)]
         else:
             found = self._backtrack(segment)
-        if min(found) >= 0:
-            return tuple(found)
+        if -1 not in found:
+            return found
         out: list[int] = []
         at = 0
         for i in found:
@@ -174,11 +180,11 @@ class PieceBPE:
             else:
                 out += [self.byte_id[b] for b in segment[at].encode("utf-8", "surrogatepass")]
                 at += 1
-        return tuple(out)
+        return out
 
     def list_ids(self, segment: str) -> str:
         """Ids of a segment, joined by commas; short ones are kept for the next time."""
-        out = self.listed.get(segment) or self.old.get(segment) or ",".join(map(str, self._encode_segment(segment)))
+        out = self.listed.get(segment) or self.old.get(segment) or ",".join([self.name[i] for i in self._encode_segment(segment)])
         if len(segment) <= CACHE_LETTERS:
             if len(self.listed) >= CACHE_WORDS:
                 self.turn()
@@ -192,6 +198,16 @@ class PieceBPE:
         except KeyError:
             return self.decode([self.id_of[MARK], *map(int, listed.split(","))])  # a mark ahead is what decoding drops
 
+    def decode_listed(self, listed: str) -> bytes | None:
+        """The text that ids decode to, a leading space included, in UTF-8; none if an id needs its neighbours."""
+        if not listed:
+            return b""
+        found = self.texts.take(pa.array(np.fromstring(listed, np.int32, sep=",")))
+        if found.null_count:
+            return None
+        _, ends, text = found.buffers()
+        return text[: np.frombuffer(ends, np.int64)[len(found)]].to_pybytes()
+
     def forget(self) -> None:
         """Drop the tables of words and neighbours."""
         self.old, self.listed, self.known = {}, {}, {}
@@ -210,11 +226,10 @@ class PieceBPE:
         known, add = self.listed.get, self.list_ids
         parts = [known(s) or add(s) for s in self.segments(text or "")]
         listed = ",".join(parts)
-        try:
-            decoded = "".join(map(self.text_of.__getitem__, listed.split(","))) if listed else ""
-        except KeyError:  # ids other than pieces of text
-            decoded = "".join(map(self.tell, parts))
-        decoded = decoded[decoded.startswith(" ") :].encode("utf-8", "surrogatepass")
+        decoded = self.decode_listed(listed)
+        if decoded is None:
+            decoded = "".join(map(self.tell, parts)).encode("utf-8", "surrogatepass")
+        decoded = decoded[decoded.startswith(b" ") :]
         return listed.count(",") + 1 if listed else 0, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), listed
 
     def segments(self, text: str) -> list[str]:
